@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, min_label_components, table, texts_of, without
+from .common import checkpoint, hinted, min_label_components, table, texts_of, without
 
 #: Fingerprints link at so many differing bits or fewer.
 MAX_BITS = 4
@@ -94,7 +94,9 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
        components are still of interest: those outside the cell's commonest component are joined to the cell's
        others, verified, and the components are joined by what is found.
     """
-    spread = lambda df: df.select(F.explode(cells(embedding(F.col("fp")))).alias("cell"), *df.columns)
+    # Each row becomes 70, so that few and small partitions must not decide how many tasks do this.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(tasks).select(F.explode(cells(embedding(F.col("fp")))).alias("cell"), *df.columns)
     reduced = checkpoint(
         spread(distinct)
         .groupBy("cell")
@@ -105,7 +107,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     named = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root")
     )
-    members = checkpoint(spread(named).join(reduced.where("n > 2").select("cell"), "cell", "left_semi"))
+    crowded = checkpoint(reduced.where("n > 2").select("cell"))
+    members = checkpoint(spread(named).join(hinted(crowded, 64), "cell", "left_semi"))
     by_root = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
     commonest = (
         by_root.groupBy("cell")
