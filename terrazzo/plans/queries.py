@@ -116,7 +116,7 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lsc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = features(_start(spark, sf_dir)[1], RGB.compactness)
-    return image.select("image_id", "y", "x", F.round("weight", 6).alias("weight"), *(F.round(F.col("features")[k], 6).alias(f"f{k}") for k in range(10)))
+    return image.select("image_id", "y", "x", F.round("weight", 6).alias("weight"), *((F.round(F.col("features")[k], 6) + 0.0).alias(f"f{k}") for k in range(10)))
 
 
 def _crf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -233,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
     lsc = f"""WITH {_RASTER}, raw AS (SELECT image_id, y, x, {", ".join(f"{r} AS f{k}" for k, r in enumerate(raw))} FROM pixels),
 m AS (SELECT image_id, {", ".join(f"avg(f{k}) AS m{k}" for k in range(10))} FROM raw GROUP BY ALL),
 w AS (SELECT raw.*, {" + ".join(f"m{k} * f{k}" for k in range(10))} AS weight FROM raw JOIN m USING (image_id))
-SELECT image_id, y, x, round(weight, 6) AS weight, {", ".join(f"round(f{k} / weight, 6) AS f{k}" for k in range(10))} FROM w"""
+SELECT image_id, y, x, round(weight, 6) AS weight, {", ".join(f"round(f{k} / weight, 6) + 0.0::DOUBLE AS f{k}" for k in range(10))} FROM w"""
     infer = f"""WITH {_CRF},
 q AS (SELECT time, cls, node, exp(-u) AS q FROM un),
 msg AS (SELECT time, cls, node, sum(m) AS m FROM (
