@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -33,6 +34,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished rounds have left: the driver's memory, and checkpoints, shuffles and broadcasts that no
+    plan refers to any more, which Spark removes only when the driver's garbage has been collected."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model learns from: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -98,4 +107,5 @@ def min_label_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_below, table, texts_of
+from .common import held_out, release, sample_below, table, texts_of
 
 #: The field learns from about so many labelled documents, chosen by a hash of their id.
 MAX_DOCS = 5000
@@ -228,7 +228,10 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DO
     counts = got.column("counts").to_numpy().astype(np.int64)
     size = got.column("size").combine_chunks().flatten().to_numpy()
     features = got.column("features").combine_chunks().flatten().to_numpy().reshape(len(size), -1).astype(np.float64)
-    return LineField.fit(features, size, counts, labels_)
+    model = LineField.fit(features, size, counts, labels_)
+    del got, features, size
+    release(docs.sparkSession)
+    return model
 
 
 def score_column(docs: DataFrame, model: LineField | None):
