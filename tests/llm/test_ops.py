@@ -190,7 +190,7 @@ def test_mixing(docs, none):
 
 def test_licenses(spark, docs, none):
     files = [
-        ("/p/LICENSE", "Released under the MIT License."), ("/p/a/x.py", "code and code\nmore code"), ("/p/b/c/y.py", "Licensed under the Apache License, Version 2.0.\ncode " * 9),
+        ("/p/LICENSE", "Released under the MIT License."), ("/p/a/x.py", "code and code\nmore code"), ("/p/b/c/y.py", "Licensed under the Apache License, Version 2.0.\n" + "code " * 60),
         ("/q/z.py", "no licence line for a machine"), ("/p/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("/p/b/c/w.py", None),
     ]
     rows = spark.createDataFrame([(i, t, "en", "s", p) for i, (p, t) in enumerate(files)], "doc_id long, text string, lang string, source string, path string")
