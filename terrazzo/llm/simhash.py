@@ -19,6 +19,11 @@ SEED = 42
 #: The 32 two-bit segments form 8 blocks; two linked fingerprints agree in the counts of 4 blocks at least.
 BLOCKS = 8
 LOW_BITS = 0x5555555555555555
+#: Each choice of 4 blocks: its number from bit 32 on, and below, a byte for each chosen block's place in the fingerprint.
+CHOICES = [
+    number << 32 | sum(8 * k << 8 * place for place, k in enumerate(chosen))
+    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
+]
 
 
 def fingerprint(text: bytes, n: int = WORDS, seed: int = SEED) -> int:
@@ -63,18 +68,27 @@ def embedding(fp: Column) -> Column:
     return any_bit.bitwiseOR(F.shiftleft(both_bits, 1))
 
 
-def cells(emb: Column) -> Column:
-    """The grid cells of an embedded fingerprint: for each 4 of its 8 blocks, the number of that choice and the
-    counts in those blocks, packed exactly into one long. With a Manhattan distance of 4 or less, at most 4 blocks
-    differ, so that two linked fingerprints share a cell for certain."""
-    block = [F.shiftrightunsigned(emb, 8 * k).bitwiseAND(F.lit(255)) for k in range(BLOCKS)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - MAX_BITS)):
-        key = F.lit(number << 32)
-        for place, k in enumerate(chosen):
-            key = key.bitwiseOR(F.shiftleft(block[k], 8 * place))
-        keys.append(key)
-    return F.array(*keys)
+def cell(emb: Column, choice: Column) -> Column:
+    """The grid cell of an embedded fingerprint for one of CHOICES: the number of the choice and the counts in its 4
+    blocks, packed exactly into one long. With a Manhattan distance of 4 or less, at most 4 of the 8 blocks differ, so
+    that two linked fingerprints share a cell of some choice for certain."""
+    key = choice.bitwiseAND(F.lit(~0xFFFFFFFF))
+    for place in range(BLOCKS - MAX_BITS):
+        shift = F.shiftright(choice, 8 * place).bitwiseAND(F.lit(255)).cast("int")
+        block = F.call_function("shiftrightunsigned", emb, shift).bitwiseAND(F.lit(255))
+        key = key.bitwiseOR(F.shiftleft(block, 8 * place))
+    return key
+
+
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """df(fp, ...) with each row once for each of its cells, over so many tasks.
+
+    Each row becomes 70, so that few and small partitions must not decide how many tasks do this. The choices are
+    data, not 70 expressions, which keeps plans, and so the driver's memory, small.
+    """
+    embedded = df.repartition(tasks).select(*df.columns, embedding(F.col("fp")).alias("__emb"))
+    exploded = embedded.select(*df.columns, "__emb", F.explode(F.lit(CHOICES)).alias("__choice"))
+    return exploded.select(cell(F.col("__emb"), F.col("__choice")).alias("cell"), *df.columns)
 
 
 def _linked(a: str, b: str) -> Column:
@@ -94,11 +108,9 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
        components are still of interest: those outside the cell's commonest component are joined to the cell's
        others, verified, and the components are joined by what is found.
     """
-    # Each row becomes 70, so that few and small partitions must not decide how many tasks do this.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda df: df.repartition(tasks).select(F.explode(cells(embedding(F.col("fp")))).alias("cell"), *df.columns)
     reduced = checkpoint(
-        spread(distinct)
+        spread(distinct, tasks)
         .groupBy("cell")
         .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("n > 1")
@@ -108,7 +120,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
         "fp", F.coalesce("root", "fp").alias("root")
     )
     crowded = checkpoint(reduced.where("n > 2").select("cell"))
-    members = checkpoint(spread(named).join(hinted(crowded, 64), "cell", "left_semi"))
+    members = checkpoint(spread(named, tasks).join(hinted(crowded, 64), "cell", "left_semi"))
     by_root = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
     commonest = (
         by_root.groupBy("cell")
