@@ -12,12 +12,18 @@ BROADCAST_BYTES = 64 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder, which outlives the executors."""
+    """Compute df once into the shared checkpoint folder, which outlives the executors.
+
+    The estimated size is forgotten too: a checkpoint keeps that of its plan, a product over joins, so that in a loop its
+    digits, and the time to plan a round, double with each round. Joins choose their form by sizes at run time.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "terrazzo-checkpoints"))
-    return df.checkpoint()
+    done, session = df.checkpoint(), df.sparkSession
+    plain = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, session)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
