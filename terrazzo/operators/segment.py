@@ -140,14 +140,24 @@ def assign(prepared: DataFrame, clusters: DataFrame, grid: DataFrame, config: Sl
     return joined.select(*prepared.columns, best["number"].alias("label"), best["d"].alias("dist"))
 
 
-def update(assigned: DataFrame, clusters: DataFrame, config: SlicConfig, keep: Column | None = None) -> DataFrame:
+def awake_rows(assigned: DataFrame, clusters: DataFrame, grid: DataFrame) -> DataFrame:
+    """The pixels that a preemptive update counts: those in cells of two spacings where an active cluster stands, and
+    all of an image whose clusters are all active. Cells reach the pixels by an equality join."""
+    c = clusters.join(small(grid.select("image_id", "s"), 32), "image_id").withColumns({"wide_y": F.expr("int(y) div (2 * s)"), "wide_x": F.expr("int(x) div (2 * s)")})
+    c = cut(c.select("image_id", "wide_y", "wide_x", "is_active"))
+    whole = c.groupBy("image_id").agg(F.bool_and("is_active").alias("whole"))
+    cells = c.where("is_active").select("image_id", "wide_y", "wide_x").distinct().withColumn("here", F.lit(True))
+    placed = assigned.withColumns({"wide_y": F.expr("y div (2 * s)"), "wide_x": F.expr("x div (2 * s)")})
+    marked = placed.join(small(whole, 32), "image_id", "left").join(small(cells, 48), ["image_id", "wide_y", "wide_x"], "left")
+    return marked.where(F.coalesce("whole", F.lit(False)) | F.coalesce("here", F.lit(False))).select(*assigned.columns)
+
+
+def update(assigned: DataFrame, clusters: DataFrame, config: SlicConfig) -> DataFrame:
     """Clusters moved to the mean of their pixels, rounded unless the variant is noq.
 
     A cluster without pixels stays where it is, with no members; one that may not move keeps everything.
     """
     rows = assigned.where("label is not null")
-    if keep is not None:
-        rows = rows.where(keep)
     sums = rows.groupBy("image_id", F.col("label").alias("number")).agg(F.count("*").alias("n"), *(F.sum(F.col(f).cast("long")).alias(f"s_{f}") for f in ("y", "x", "c0", "c1", "c2")))
     mean = lambda f: F.expr(f"s_{f} / n") if config.variant == "noq" else F.expr(f"double((s_{f} + (n div 2)) div n)")
     moved = F.col("n").isNotNull() & (F.col("is_updatable") > 0)
@@ -234,7 +244,9 @@ class Slic:
             done = field.assign(rows, clusters) if field else assign(rows, clusters, grid, config)
             done = self._stale(done, labels)
             before = clusters
-            clusters = cut(field.update(done, clusters) if field else update(done, clusters, config))
+            # The first iteration begins with all clusters active, so that nothing is left out.
+            counted = awake_rows(done, clusters, grid) if config.preemptive and number else done
+            clusters = cut(field.update(counted, clusters) if field else update(counted, clusters, config))
             if config.preemptive:
                 settled = settle(clusters.select(*CLUSTERS), before.select(*CLUSTERS), grid, config)
                 clusters = cut(settled if field is None else settled.join(clusters.select("image_id", "number", "features"), ["image_id", "number"]))

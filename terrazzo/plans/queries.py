@@ -199,6 +199,27 @@ knn AS (SELECT * FROM (SELECT a.image_id, a.number AS src, b.number AS dst,
     row_number() OVER (PARTITION BY a.image_id, a.number ORDER BY abs(a.y - b.y) + abs(a.x - b.x), b.number) AS ord
   FROM moved a JOIN moved b ON a.image_id = b.image_id AND a.number <> b.number AND abs(a.y - b.y) <= {3 * S} AND abs(a.x - b.x) <= {3 * S})
   WHERE ord <= 4)"""
+# Least run numbers spread downwards from runs with nothing of their label above; a run's number is its first pixel's.
+_COMPONENTS = f"""{_SLIC},
+steps AS (SELECT image_id, y, x, coalesce(label, -1) AS label,
+    (coalesce(label, -1) IS DISTINCT FROM lag(coalesce(label, -1)) OVER (PARTITION BY image_id, y ORDER BY x))::INT AS new FROM labels),
+runs AS (SELECT image_id, y, label, min(x) AS lo, max(x) AS hi, y * {WIDTH} + min(x) AS pos
+  FROM (SELECT *, sum(new) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM steps) GROUP BY image_id, y, run, label),
+pairs AS (SELECT a.image_id, a.pos AS a, b.pos AS b FROM runs a
+  JOIN runs b ON b.image_id = a.image_id AND b.label = a.label AND b.y = a.y + 1 AND a.lo <= b.hi AND b.lo <= a.hi),
+touching AS (SELECT image_id, a, b FROM pairs UNION ALL SELECT image_id, b, a FROM pairs),
+reach AS (SELECT image_id, pos AS root, pos FROM runs ANTI JOIN (SELECT image_id, b AS pos FROM pairs) USING (image_id, pos)
+  UNION SELECT r.image_id, r.root, t.b FROM reach r JOIN touching t ON t.image_id = r.image_id AND t.a = r.pos),
+named AS (SELECT runs.*, m.comp FROM runs JOIN (SELECT image_id, pos, min(root) AS comp FROM reach GROUP BY ALL) m USING (image_id, pos)),
+areas AS (SELECT image_id, comp, label, sum(hi - lo + 1)::BIGINT AS area FROM named GROUP BY ALL)"""
+_ABSORBED = f"""{_COMPONENTS},
+kept AS (SELECT image_id, comp, row_number() OVER (PARTITION BY image_id ORDER BY comp) - 1 AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, comp) AS place FROM areas WHERE area >= {BASE.min_size(S)}) WHERE place <= {K}),
+gone AS (SELECT image_id, comp, CASE WHEN comp % {WIDTH} > 0 THEN comp - 1 ELSE comp - {WIDTH} END AS beside FROM areas ANTI JOIN kept USING (image_id, comp)),
+beside AS (SELECT g.image_id, g.comp, n.comp AS parent FROM gone g
+  JOIN named n ON n.image_id = g.image_id AND n.y = g.beside // {WIDTH} AND g.beside % {WIDTH} BETWEEN n.lo AND n.hi WHERE g.beside >= 0),
+ends AS (SELECT * FROM kept UNION ALL SELECT image_id, comp, 0 FROM gone WHERE beside < 0),
+final AS (SELECT * FROM ends UNION ALL SELECT b.image_id, b.comp, f.label FROM final f JOIN beside b ON b.image_id = f.image_id AND b.parent = f.comp)"""
 _ACTIVE = 1 / CLASSES + (1 - 1 / CLASSES) * 0.5
 _SQ = lambda fields, scale: " + ".join(f"((a.{f} - b.{f}) / {scale}) * ((a.{f} - b.{f}) / {scale})" for f in fields)
 _CRF = f"""{_KNN},
@@ -262,6 +283,8 @@ SELECT image_id, src, dst FROM d UNION SELECT image_id, dst, src FROM d"""
         "knn_l1": f"WITH {_KNN} SELECT image_id, src, dst, ord FROM knn",
         "density_of_mask": f"WITH {_DENSITY} SELECT image_id, number, density FROM density",
         "density_broadcast": f"WITH {_DENSITY} SELECT l.image_id, l.y, l.x, coalesce(d.density, 0) AS mask FROM labels l LEFT JOIN density d ON d.image_id = l.image_id AND d.number = l.label",
+        "components": f"WITH RECURSIVE {_COMPONENTS} SELECT image_id, (comp // {WIDTH})::INT AS leader_y, (comp % {WIDTH})::INT AS leader_x, nullif(label, -1)::INT AS label, area FROM areas",
+        "connectivity": f"WITH RECURSIVE {_ABSORBED} SELECT n.image_id, n.y, unnest(range(n.lo, n.hi + 1))::INT AS x, f.label::INT AS label FROM named n JOIN final f ON f.image_id = n.image_id AND f.comp = n.comp",
         "lsc_features": lsc,
         "crf_unary_mask": f"WITH {_CRF} SELECT time, cls, node, round(u, 6) AS u FROM un",
         "crf_spatial_energy": f"WITH {_CRF} SELECT time, src, dst, round(e, 6) AS e FROM se",

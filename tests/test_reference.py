@@ -8,7 +8,7 @@ import pytest
 from terrazzo.operators import crf
 from terrazzo.operators.components import enforce_connectivity
 from terrazzo.operators.graph import adjacency, as_lists, mask_density
-from terrazzo.operators.segment import grid_centres, to_lab
+from terrazzo.operators.segment import awake_rows, grid_centres, to_lab
 from terrazzo.plans import queries
 from terrazzo.plans.config import SlicConfig
 
@@ -59,6 +59,17 @@ def test_graph(spark):
     assert {r.number: r.density for r in mask_density(masked, clusters).collect()} == {0: 90, 1: 0, 2: 0}
 
 
+def test_awake_rows(spark):
+    """Image 0 rests but for the cell of its first cluster; image 1 has no resting cluster; image 2 rests whole."""
+    spots = [(0, 0, 1.0, 1.0, True), (0, 1, 6.0, 6.0, False), (1, 0, 1.0, 1.0, True), (2, 0, 5.0, 1.0, False)]
+    clusters = spark.createDataFrame(spots, "image_id int, number int, y double, x double, is_active boolean")
+    pixels = spark.createDataFrame([(i, y, x, 0) for i in range(3) for y in range(8) for x in range(8)], "image_id int, y int, x int, s int").selectExpr("image_id", "y", "x", "2 as s", "0 as label")
+    grid = spark.createDataFrame([(i, 2) for i in range(3)], "image_id int, s int")
+    got = awake_rows(pixels, clusters, grid)
+    assert got.columns == pixels.columns
+    assert {(r.image_id, r.y, r.x) for r in got.collect()} == {(0, y, x) for y in range(4) for x in range(4)} | {(1, y, x) for y in range(8) for x in range(8)}
+
+
 def test_crf_step(spark):
     c = crf.SimpleCRF(spark, 2)
     assert (c.first_time, c.last_time, c.pop_frame()) == (-1, -1, -1)
@@ -77,7 +88,7 @@ def test_crf_step(spark):
     assert q[0, 1] == pytest.approx(0.999776, abs=1e-5)
 
 
-@pytest.mark.parametrize("name", ["rgb_to_lab", "update_once", "adjacency_uncapped", "density_broadcast", "crf_infer_once"])
+@pytest.mark.parametrize("name", ["rgb_to_lab", "update_once", "adjacency_uncapped", "density_broadcast", "components", "connectivity", "crf_infer_once"])
 def test_sql(spark, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
