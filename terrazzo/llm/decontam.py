@@ -87,3 +87,34 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql(masks: tuple[str, ...] = MASKS, run: int = RUN, share: float = SHARE) -> str:
+    """The same in SQL: seeds are the lists of words that a mask reads, in the place of their hashes."""
+    words = lambda c: f"string_split_regex(regexp_replace(lower({c}), '^{SPACE}+|{SPACE}+$', '', 'g'), '{SPACE}+')"
+    filled = lambda c: f"regexp_matches({c}, '[^\\x20\\x09-\\x0D]')"
+    longest = max(map(len, masks))
+    given = ", ".join(f"({n}, {[k for k, bit in enumerate(m) if bit == '1']}, {len(m)})" for n, m in enumerate(masks))
+    seeds = lambda t: f"SELECT {t}.row, p.pos, m.mask, [{t}.w[p.pos + k + 1] for k in m.places] AS seed FROM {t}, masks m, LATERAL (SELECT unnest(range(len({t}.w) - m.width + 1)) AS pos) p"
+    return f"""
+WITH d AS (SELECT doc_id, w, row_number() OVER () AS row FROM (SELECT DISTINCT doc_id, {words("text")} AS w FROM documents WHERE {filled("text")})),
+i AS (SELECT item_id, w, row_number() OVER () AS row FROM (SELECT DISTINCT item_id, {words("text")} AS w FROM benchmark WHERE {filled("text")})),
+masks(mask, places, width) AS (
+  VALUES {given} UNION ALL SELECT DISTINCT 100 + len(w), range(len(w)), len(w) FROM i WHERE len(w) < {longest}
+), hits AS (
+  SELECT DISTINCT a.row AS doc, b.row AS item, a.pos - b.pos AS start FROM ({seeds("d")}) a JOIN ({seeds("i")}) b ON a.mask = b.mask AND a.seed = b.seed
+), laid AS (
+  SELECT doc_id, item_id, start, len(i.w) AS n,
+         [CASE WHEN start + k >= 0 AND i.w[k + 1] = d.w[start + k + 1] THEN 1 ELSE 0 END for k in range(len(i.w))] AS same
+  FROM hits h JOIN d ON d.row = h.doc JOIN i ON i.row = h.item
+), rated AS (
+  SELECT *, list_sum(same) AS n_same,
+         list_max([list_sum(same[j + 1 : j + least(n, {run})]) for j in range(n - least(n, {run}) + 1)])::DOUBLE / least(n, {run}) AS overlap
+  FROM laid
+)
+SELECT doc_id, item_id, start::BIGINT AS doc_word, n_same::BIGINT AS n_same, n::BIGINT AS n_item, overlap FROM rated WHERE overlap >= {share}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, n_same DESC, start, n DESC) = 1
+"""
+
+
+OP8_SQL = _sql()

@@ -133,3 +133,55 @@ def license_scan(docs: DataFrame, path: Column | None = None) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    given = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    terms = lambda c: f"regexp_extract_all(lower({c}), '{TERM}')"
+    words = lambda c: f"len(regexp_extract_all({c}, '{WORD}'))"
+    weighed = lambda t: f"SELECT {t}.*, (1 + ln(tf)) * idf AS w FROM {t} JOIN idf USING (term)"
+    return rf"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, '/' || coalesce(source, '') || '/' || coalesce(lang, '') AS directory,
+         coalesce(doc_id::VARCHAR, '') AS name FROM documents
+), lines AS (
+  SELECT row, {terms("line")} AS terms, {words("line")} AS n_words
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM rows WHERE regexp_matches(text, '{CUE}')) WHERE regexp_matches(line, '{CUE}')
+), counted AS (SELECT terms, count(*) AS n, row_number() OVER () AS line FROM lines GROUP BY terms),
+templates(template, license, text) AS (VALUES {given}),
+given AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms("text")}) AS term FROM templates) GROUP BY ALL),
+tf AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(terms) AS term FROM counted) GROUP BY ALL),
+total AS (SELECT coalesce(sum(n), 0) + {len(TEMPLATES)} AS total FROM counted),
+idf AS (
+  SELECT term, ln((1.0::DOUBLE + total) / (1 + sum(df))) + 1 AS idf
+  FROM (SELECT term, n AS df FROM tf UNION ALL SELECT term, 1 FROM given), total GROUP BY term, total
+), lines_w AS ({weighed("tf")}), given_w AS ({weighed("given")}),
+norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lines_w GROUP BY line),
+given_norm AS (SELECT template, sqrt(sum(w * w)) AS norm FROM given_w GROUP BY template),
+cosines AS (
+  SELECT l.line, g.template, g.license, round(sum(l.w * g.w / gn.norm) / any_value(norm.norm), 6) AS cosine
+  FROM lines_w l JOIN given_w g USING (term) JOIN given_norm gn ON gn.template = g.template JOIN norm ON norm.line = l.line GROUP BY ALL
+), best AS (SELECT * FROM cosines WHERE cosine >= {COSINE} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, template) = 1),
+matched AS (SELECT row, license, cosine, n_words FROM lines JOIN counted USING (terms) JOIN best USING (line)),
+own AS (
+  SELECT row, arg_max(license, (cosine, license)) AS license, max(cosine) AS cosine, sum(n_words) AS noticed FROM matched GROUP BY row
+), known AS (
+  SELECT row, directory, name, license, cosine, noticed >= {FILE_SHARE} * {words("text")}
+         OR regexp_matches(name, '(?i)^(licen[sc]e|copying|unlicense)(\.\w+)?$') AS file
+  FROM rows JOIN own USING (row)
+), speaking AS (
+  SELECT directory AS at, license FROM known WHERE file
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, name, license) = 1
+), near AS (
+  SELECT d.directory, s.license AS near FROM (SELECT DISTINCT directory FROM rows) d JOIN speaking s ON d.directory = s.at OR starts_with(d.directory, s.at || '/')
+  QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(s.at) DESC) = 1
+)
+SELECT doc_id, coalesce(license, near) AS license,
+       CASE WHEN license IS NOT NULL THEN CASE WHEN file THEN 'file' ELSE 'header' END WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       cosine, rows.directory
+FROM rows LEFT JOIN known USING (row) LEFT JOIN near ON near.directory = rows.directory
+"""
+
+
+OP9_SQL = _sql()

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontam import op8_decontam
+from .decontam import OP8_SQL, op8_decontam
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html import op10_html
 from .langid import op1_langid
-from .licenses import op9_licenses
+from .licenses import OP9_SQL, op9_licenses
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op5_quality
 from .secrets import op7_secrets
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_decontam": OP8_SQL, "op9_licenses": OP9_SQL}
