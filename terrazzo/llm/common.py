@@ -53,10 +53,15 @@ def sample_below(count: int, bound: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether so many rows of that size may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
 def hinted(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if its counted rows fit the bound; else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

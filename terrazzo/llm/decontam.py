@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, hinted, table, without
+from .common import SPACE, checkpoint, fits, hinted, table, without
 
 #: Places of a window of seven words that a seed reads; words at the other places may differ.
 MASKS = ("1101011", "1011101")
 #: An overlap counts if, of some run of so many words of the item (all of a shorter item), this share agrees.
 RUN, SHARE = 12, 0.8
+#: Bytes that a seed may take in a broadcast.
+SEED_BYTES = 96
 
 
 def words_of(text: Column) -> Column:
@@ -47,7 +49,7 @@ def contaminated(
     Of several places the best stays, then the first. An item shorter than a mask has a seed of all its words.
 
     Hits are found and verified row by row, without shuffling texts; seeds and items are broadcast as far as their
-    counted size allows, else joined by shuffle. Null and blank texts and items overlap nothing. Repeated rows of
+    counted size allows. Beyond it seeds are joined by shuffle, where only texts with a hit are moved. Null and blank texts and items overlap nothing. Repeated rows of
     either table give one result for each doc_id and item_id; null ids are ids like others. Empty tables give an
     empty result. Other columns are not read.
     """
@@ -62,9 +64,16 @@ def contaminated(
     seeds = checkpoint(seeds.where("seed is not null").distinct())
 
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    at = spots(words, "words", "doc_id").select("doc_id", "words", "pos", F.explode(seeds_at("words", "pos", masks_)).alias("seed"))
-    hits = at.where("seed is not null").join(hinted(seeds, 96), "seed")
-    hits = hits.select("doc_id", "words", "__item", (F.col("pos") - F.col("item_pos")).alias("start"))
+    start = (F.col("pos") - F.col("item_pos")).alias("start")
+    if fits(seeds.count(), SEED_BYTES):
+        at = spots(words, "words", "doc_id").select("doc_id", "words", "pos", F.explode(seeds_at("words", "pos", masks_)).alias("seed"))
+        hits = at.where("seed is not null").join(F.broadcast(seeds), "seed").select("doc_id", "words", "__item", start)
+    else:
+        # Places are shuffled by seed with a hash of their text in the place of its words, and hits fetch the words.
+        words = words.withColumn("__text", F.xxhash64("words"))
+        at = spots(words, "words", "doc_id", "__text").select("doc_id", "__text", "pos", F.explode(seeds_at("words", "pos", masks_)).alias("seed"))
+        hit = at.where("seed is not null").join(seeds, "seed").select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__of"), "__item", start).distinct()
+        hits = words.join(hit, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__of"))).select("doc_id", "words", "__item", "start")
     laid = hits.join(hinted(items, 4096), "__item")
     same = F.transform("item", lambda w, i: F.when(w == F.get(F.col("words"), F.col("start") + i), 1).otherwise(0))
     found = laid.select("doc_id", "item_id", "start", F.size("item").alias("n_item"), same.alias("same"))

@@ -164,7 +164,7 @@ def test_html(spark):
     assert [(r.page_id, r.n_chars) for r in extract_pages(pages).orderBy("page_id").collect()][:2] == [(1, 18), (2, 0)]
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     bench = spark.createDataFrame([(0, item), (1, "short item here"), (2, None), (3, "")], "item_id long, text string")
     words = item.split()
@@ -176,6 +176,9 @@ def test_decontamination(spark, docs, none):
     assert got == {(10, 0, 1), (11, 0, 2), (13, 1, 1)}
     assert {r.doc_id for r in drop_contaminated(rows, bench).collect()} == {12, 14, 15}
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+    again = rows.unionByName(rows.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
+    monkeypatch.setattr("terrazzo.llm.common.BROADCAST_BYTES", 0)  # as with a benchmark too large to broadcast
+    assert {(r.doc_id, r.item_id, r.doc_word) for r in contaminated(again, bench).collect()} == got | {(None, 0, 1)}
 
 
 def test_mixing(docs, none):
