@@ -69,6 +69,28 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(hinted(ids, 64), key, "left_anti")
 
 
+def text_key() -> Column:
+    """A hash of each row's text alone; null counts as empty."""
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def row_key() -> Column:
+    """A key of each row's own, by its id and a hash of its text, never null. Keys sort by id, null last. Rows with one key
+    repeat id and text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text_key().alias("text"))
+
+
+def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs(__key, ...) whose key is kept by judged(__key, kept), without it; of rows with one key one stays."""
+    keys = checkpoint(judged.groupBy("__key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    out = docs.join(hinted(keys.where("not kept").select("__key"), 160), "__key", "left_anti")
+    repeats = checkpoint(keys.where("kept and n > 1").select("__key"))
+    if not repeats.isEmpty():
+        again = hinted(repeats, 160)
+        out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.drop("__key")
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, fits, hinted, table, without
+from .common import SPACE, checkpoint, fits, hinted, table, text_key, without
 
 #: Places of a window of seven words that a seed reads; words at the other places may differ.
 MASKS = ("1101011", "1011101")
@@ -90,8 +90,10 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item, with all columns."""
-    return without(docs, checkpoint(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()))
+    """The rows of docs that overlap no item, with all columns. Texts are judged, whatever their ids."""
+    keyed = docs.withColumn("__key", text_key())
+    found = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark)
+    return without(keyed, checkpoint(found.select(F.col("doc_id").alias("__key")).distinct()), "__key").drop("__key")
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

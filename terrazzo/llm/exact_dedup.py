@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, hinted, table, without
+from .common import SPACE, checkpoint, hinted, keep_one, row_key, table
 
 #: Bits of the filter for each row, and hash functions. With 2 positions a row and 32 bits, about one unique row in
 #: 250 is taken for a possible repeat; it is then found unique by the exact comparison.
@@ -80,18 +80,11 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns. Of rows that repeat doc_id and text one stays."""
-    found = checkpoint(exact_dedup(docs).select("doc_id", "kept"))
-    # An id with kept and dropped rows (two texts under one id) keeps all of them: an id can't tell them apart.
-    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    out = without(docs, checkpoint(ids.where("not kept and doc_id is not null").select("doc_id")))
-    repeats = checkpoint(ids.where("kept and n > 1 and doc_id is not null").select("doc_id"))
-    if repeats.isEmpty():
-        return out
-    again = hinted(repeats, 64)
-    return out.join(again, "doc_id", "left_anti").unionByName(
-        out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    )
+    """One row of each group of equal texts, with all columns. Rows are told apart by id and text, so that null and
+    repeated ids neither hold a copy nor drop another text."""
+    keyed = docs.withColumn("__key", row_key())
+    found = exact_dedup(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    return keep_one(keyed, found.select(F.col("doc_id").alias("__key"), "kept"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

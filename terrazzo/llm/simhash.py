@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hinted, min_label_components, table, texts_of, without
+from .common import checkpoint, hinted, keep_one, min_label_components, row_key, table, texts_of
 
 #: Fingerprints link at so many differing bits or fewer.
 MAX_BITS = 4
@@ -158,9 +158,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """Docs with one document of each component: the one that names it. Null ids stay."""
-    found = simhash_components(docs)
-    return without(docs, checkpoint(found.where("doc_id <> component_id").select("doc_id").distinct()))
+    """One row of docs of each component, with all columns: the one with the smallest id (null last), then text hash."""
+    keyed = docs.withColumn("__key", row_key())
+    found = simhash_components(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    return keep_one(keyed, found.select(F.col("doc_id").alias("__key"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
