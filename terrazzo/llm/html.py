@@ -34,7 +34,12 @@ ENDS_P = frozenset(
 )
 STOPS = frozenset("html body article main section div table ul ol dl td th blockquote figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements, roles and words of class or id whose content is no part of an article.
+#: A path counts as content from this share of the page's mean ratio; inside the element that holds the content from the
+#: second, if it is not mostly links.
+SHARE, INNER_SHARE = 0.25, 0.01
+#: What a name multiplies the ratios of an element by, unless the element holds more than half of the high-ratio text.
+OTHER_WEIGHT = 0.002
+#: Elements, roles and words of class or id whose content is seldom part of an article.
 OTHER_TAGS = frozenset("nav footer aside form button select dialog menu fieldset datalist".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OTHER_WORDS = frozenset(
@@ -54,6 +59,7 @@ class Node:
     other: bool = False
     header: bool = False
     score: float = 0.0
+    weight: float = 1.0
     children: list[Node] = field(default_factory=list)
 
 
@@ -66,7 +72,7 @@ class Block:
 
 
 def _is_other(tag: str, raw: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is no part of an article by its name or attributes, and whether it is a header."""
+    """Whether an element's own name or attributes speak against it, and whether it is a header."""
     if tag in OTHER_TAGS:
         return True, False
     header = tag == "header"
@@ -149,9 +155,9 @@ def blocks_of(html: str) -> tuple[Node, list[Block]]:
                 elif stack[k].tag in STOPS:
                     break
         parent = stack[-1]
-        other, header = (parent.other, parent.header) if tag in INLINE or parent.other else _is_other(tag, raw or "", parent)
+        other, header = (False, False) if tag in INLINE else _is_other(tag, raw or "", parent)
         if not raw.rstrip().endswith("/") or tag not in ("path", "circle"):
-            node = Node(tag, f"{parent.path}>{tag}", parent, parent.other or other, parent.header or header)
+            node = Node(tag, f"{parent.path}>{tag}", parent, other, header)
             parent.children.append(node)
             stack.append(node)
     for b in blocks:
@@ -179,40 +185,89 @@ def ratios(blocks: list[Block]) -> np.ndarray:
     return smooth(text) * (1 + smooth(mark))
 
 
+def _score(blocks: list[Block], chosen: np.ndarray) -> None:
+    """Sum the unlinked text of chosen blocks up the tree."""
+    for b in blocks:
+        node = b.node
+        while node is not None:
+            node.score = 0.0
+            node = node.parent
+    for b, taken in zip(blocks, chosen, strict=True):
+        node = b.node if taken else None
+        while node is not None:
+            node.score += max(0, len(b.text) - b.linked)
+            node = node.parent
+
+
+def _weights(root: Node, beside: bool) -> None:
+    """The weight of each element, from the names at and above it. A name of an element that holds most of the scored text
+    doesn't count, but the tags nav and footer do if there is an article beside them with scored text (``beside``)."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        above = node.parent.weight if node.parent else 1.0
+        if (node.other or node.header) and (2 * node.score <= root.score or beside and node.tag in ("nav", "footer")):
+            # Headers hold the article's headings at most.
+            node.weight = above * OTHER_WEIGHT
+        else:
+            node.weight = above
+        todo += node.children
+
+
 def extract(html: str) -> str:
-    """The main text of a page: its blocks joined by line feeds, empty if there is none."""
+    """The main text of a page: its blocks joined by line feeds, empty if there is none.
+
+    Blocks are chosen by their path's fused ratio. Names of elements only weigh the ratios. A heading is chosen with
+    the text that it heads, and a block of a low ratio in the element that holds the chosen text unless it is mostly links.
+    """
     root, blocks = blocks_of(html)
-    # Headers hold the article's headings at most.
-    blocks = [b for b in blocks if not b.node.other and (not b.node.header or b.node.tag in HEADINGS and any(x in b.node.path for x in (">article", ">main")))]
     if not blocks:
         return ""
     fused = ratios(blocks)
-    # Paths above the threshold are content; their weight, summed up the tree, shows the element that holds it.
-    threshold = 0.25 * fused.mean()
-    for b, ratio in zip(blocks, fused, strict=True):
-        if ratio >= threshold:
-            node = b.node
-            while node is not None:
-                node.score += len(b.text)
-                node = node.parent
+    high = fused >= SHARE * fused.mean()
+    _score(blocks, high)
+    articles = [b.node.path.split(">") for b, taken in zip(blocks, high, strict=True) if taken]
+    _weights(root, any({"article", "main"} & set(x) and not {"nav", "footer"} & set(x) for x in articles))
+    weight = np.array([b.node.weight for b in blocks])
+    linked, whole = defaultdict(int), defaultdict(int)
+    for b in blocks:
+        linked[b.node.path] += b.linked
+        whole[b.node.path] += len(b.text)
+    # Smoothing mustn't lift what is mostly links.
+    own = np.array([2 * linked[b.node.path] <= whole[b.node.path] for b in blocks]) | (fused.max() == 0)
+    weighed = fused * weight
+    free = weight == 1
+    chosen = (weighed >= SHARE * weighed.mean()) & (free | (weighed > 0)) & own
+    _score(blocks, chosen)
     node = root
     while node.tag not in ("article", "main"):
         best = max(node.children, key=lambda x: x.score, default=None)
-        if best is None or best.tag not in STOPS or best.tag in ("ul", "ol", "dl", "blockquote", "figure") or best.score < 0.6 * node.score:
+        if best is None or best.tag not in STOPS or best.score < 0.6 * node.score or not best.score:
             break
-        if best.tag == "div" and any(c.tag in HEADINGS and c.score for c in node.children):
+        if best.tag in ("ul", "ol", "dl", "blockquote", "figure") or best.tag == "div" and any(c.tag in HEADINGS for c in node.children):
             break  # a heading beside the text belongs to it
         node = best
-    if node.tag == "main":
-        inner = [c for c in node.children if c.tag == "article" and c.score >= 0.6 * node.score]
-        node = inner[0] if inner else node
 
-    def inside(x: Node | None) -> bool:
-        while x is not None and x is not node:
+    def under(x: Node | None, test) -> bool:
+        while x is not None and not test(x):
             x = x.parent
-        return x is node
+        return x is not None
 
-    return "\n".join(b.text for b in blocks if inside(b.node))
+    least = INNER_SHARE * weighed.mean()
+    for k, b in enumerate(blocks):
+        if free[k] and weighed[k] >= least and own[k]:
+            chosen[k] |= under(b.node, lambda x: x is node)
+    follows = False
+    for k in range(len(blocks) - 1, -1, -1):
+        b = blocks[k]
+        if b.node.tag in HEADINGS:
+            # Of named elements a header in an article may hold its heading, and a heading's own name says nothing.
+            lone = b.node.weight == b.node.parent.weight * OTHER_WEIGHT and b.node.parent.weight == 1
+            titled = b.node.parent.header and under(b.node, lambda x: x.tag in ("article", "main"))
+            chosen[k] |= follows and (free[k] or lone or titled)
+        else:
+            follows = bool(chosen[k])
+    return "\n".join(b.text for b, taken in zip(blocks, chosen, strict=True) if taken)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

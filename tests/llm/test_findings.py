@@ -4,6 +4,7 @@ import pytest
 
 from terrazzo.llm.decontam import drop_contaminated
 from terrazzo.llm.exact_dedup import drop_exact
+from terrazzo.llm.html import extract
 from terrazzo.llm.simhash import drop_near
 
 
@@ -23,3 +24,17 @@ def test_pipeline_stages_act_by_row(spark, monkeypatch, broadcast):
     # A passage under a null id, and a clean row under the id of a contaminated one.
     leaks = make([(None, f"x {item}"), (None, "clean"), (5, item), (5, "clean too")])
     assert tidy(drop_contaminated(leaks, bench)) == [(0, "clean"), (5, "clean too")]
+
+
+def test_html_names_only_weigh():
+    body = "".join(f"<p>Sentence {k} of the article, with words, commas and a full stop at its end.</p>" for k in range(8))
+    text = "\n".join(f"Sentence {k} of the article, with words, commas and a full stop at its end." for k in range(8))
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    page = lambda x: f"<html><body>{nav}{x}<footer>Some firm</footer></body></html>"
+    for around in ("class='elementor-widget wide'", "class='content no-sidebar'", "id=discussion"):
+        assert extract(page(f"<div {around}><article><h1>Title</h1>{body}</article></div>")) == f"Title\n{text}"
+    assert extract(page(f"<article><h2 id=comments>Title</h2>{body}</article>")) == f"Title\n{text}"
+    # A path without text of its own goes, though it stands in the article and has no name.
+    links = "<div><ul>" + "".join(f"<li><a href=/{k}>More {k}</a></li>" for k in range(6)) + "</ul></div>"
+    assert extract(page(f"<article><h1>Title</h1>{body}{links}</article>")) == f"Title\n{text}"
+    assert extract(page(f"<article><h1>Title</h1>{body}<div class=ad>Buy this now.</div>{body}</article>")) == f"Title\n{text}\n{text}"
