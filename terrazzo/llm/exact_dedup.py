@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, hinted, keep_one, row_key, table
+from .common import SPACE, checkpoint, join_groups, keep_one, row_key, shared_folder, table
 
-#: Bits of the filter for each row, and hash functions. With 2 positions a row and 32 bits, about one unique row in
-#: 250 is taken for a possible repeat; it is then found unique by the exact comparison.
+#: Bits of the filter for each row. A row sets two bits of one 64-bit word; about one unique row in a hundred shares
+#: both with repeated or chance company, is taken for a possible repeat, and found unique by the exact comparison.
 BITS_PER_ROW = 32
+#: Words of the second filter that are broadcast together: 64 MB at 64 bytes a word.
+PART_WORDS = 1 << 20
+
 
+def word_of(h: Column, words: int) -> Column:
+    """The filter word of a hash, by its upper 52 bits, so that words may be numbered far beyond 2**32."""
+    return F.pmod(F.shiftrightunsigned(h, 12), F.lit(words))
 
-def _positions(bits: int) -> Column:
-    """The two filter positions of a hash, from its low and its high half."""
-    low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32)
-    return F.array(F.pmod(low, F.lit(bits)), bits + F.pmod(high, F.lit(bits)))
+
+def bits_of(h: Column) -> Column:
+    """The two bits that a hash sets in its word, by its lower 12 bits; they may be the same."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return one(h).bitwiseOR(one(F.shiftrightunsigned(h, 6)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -27,49 +36,75 @@ def digest(docs: DataFrame) -> DataFrame:
     ).withColumn("h", F.xxhash64("text_sha256"))
 
 
+def seen_again(hashed: DataFrame) -> DataFrame:
+    """(word, again): the second filter, of the bits that two or more rows of ``hashed(word, bits)`` set; words without any are absent.
+
+    The first filter is the words' bits, built by partial aggregation, so that only words move, never rows. With each
+    word go the bits set an odd number of times and how many settings there were. If the settings beyond the first of
+    each bit are as many as the bits set an even number of times, just these were set again; if they are more, some
+    bit was set three times, and all bits of the word count. So no bit that was set twice is missing.
+    """
+    words = hashed.groupBy("word").agg(F.bit_or("bits").alias("seen"), F.bit_xor("bits").alias("odd"), F.sum(F.bit_count("bits")).alias("n"))
+    even = F.col("seen").bitwiseAND(F.bitwise_not("odd"))
+    extra = F.col("n") - F.bit_count("seen")
+    return words.where(extra > 0).select("word", F.when(extra == F.bit_count(even), even).otherwise(F.col("seen")).alias("again"))
+
+
+def possibly_repeated(rows: DataFrame, words: int) -> DataFrame:
+    """rows(h, ...) with ``maybe``, in the place of h: whether some other row may have the same hash. No row moves.
+
+    The second filter is broadcast in parts of bounded size, by ranges of words. With more than one part rows are
+    first written into a folder for each, where they stand, so that each is read and tested once.
+    """
+    hashed = rows.withColumns({"word": word_of(F.col("h"), words), "bits": bits_of(F.col("h"))})
+    again = checkpoint(seen_again(hashed.select("word", "bits")))
+    # Hashes spread evenly; half the bound leaves room for chance.
+    n = again.count()
+    parts = -(-2 * n // PART_WORDS) if n > PART_WORDS else 1
+    maybe = F.col("again").isNotNull() & (F.col("again").bitwiseAND(F.col("bits")) == F.col("bits"))
+    test = lambda some, known: some.join(F.broadcast(known), "word", "left").withColumn("maybe", F.coalesce(maybe, F.lit(False))).drop("h", "word", "bits", "again")
+    if parts == 1:
+        return test(hashed, again)
+    part = (F.col("word") / F.lit(-(-words // parts))).cast("long").cast("int")
+    path = f"{shared_folder(rows.sparkSession)}/filtered-{uuid.uuid4().hex}"
+    hashed.withColumn("__part", part).write.partitionBy("__part").parquet(path)
+    stored, out = rows.sparkSession.read.parquet(path), None
+    for k in range(parts):
+        one = test(stored.where(F.col("__part") == k).drop("__part"), again.where(part == k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
     """Groups of equal texts, one row for each row of docs.
 
     Texts are equal when identical without white space. The row with the most code points stays, among those the
     smallest doc_id. Returns doc_id, keep_id, group_size, kept, text_sha256.
 
-    Pass 1 hashes every text once and sets two filter positions for each row; positions that two or more rows set
-    form the filter of possible repeats. Pass 2 tests each row against it: rows with a position that no other row has
-    set are unique and pass straight through; only the others are shuffled and compared by SHA-256. The filter
-    holds positions of repeated texts only. It is broadcast where its counted size allows and joined by shuffle
-    beyond. The filter has no false negatives, so no repeat is lost.
+    Pass 1 hashes every text once and builds two Bloom filters, of bits that some row sets and of those that two or
+    more rows set. Pass 2 tests each row against the second, broadcast in parts of bounded size: rows that it does
+    not hold are unique and pass straight through, without any shuffle; only the others are shuffled and compared by
+    SHA-256. The filter has no false negatives, so no repeat is lost. A text that many rows share is counted with
+    partial aggregation and then broadcast to its rows.
 
     Null texts equal empty ones. Rows that repeat doc_id and text count in group_size, and each is kept if its doc_id
     is keep_id; a null doc_id sorts after all others. An empty table gives an empty result. Other columns are not
     read.
     """
     rows = checkpoint(digest(docs))
-    bits = max(64, rows.count() * bits_per_row)
-    marked = rows.withColumn("p", _positions(bits))
-    # A filter word holds 32 positions; `word` and `bit` address them.
-    seen = marked.select(F.explode("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
-    words = checkpoint(
-        seen.groupBy(F.shiftright("p", 5).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("set")
-        )
-    )
-    n_words = words.count()
-    tested = marked.withColumns({"p0": F.col("p")[0], "p1": F.col("p")[1]}).drop("p")
-    for k in (0, 1):
-        w = words.select(F.col("word").alias(f"w{k}"), F.col("set").alias(f"s{k}"))
-        tested = tested.withColumn(f"w{k}", F.shiftright(f"p{k}", 5)).join(hinted(w, 48, n_words), f"w{k}", "left")
-        tested = tested.withColumn(f"hit{k}", F.expr(f"shiftright(coalesce(s{k}, 0L), int(p{k} % 32)) % 2 = 1"))
-    tested = checkpoint(tested.select("doc_id", "n_points", "text_sha256", (F.col("hit0") & F.col("hit1")).alias("maybe")))
-
+    tested = checkpoint(possibly_repeated(rows, max(1, rows.count() * bits_per_row // 64)))
     unique = tested.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = tested.where("maybe")
     # Partial aggregation leaves one row a task and text, so a text that a third of all rows share is no hot key here.
-    groups = maybe.groupBy("text_sha256").agg(
-        F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"), F.count("*").alias("group_size")
+    groups = checkpoint(
+        maybe.groupBy("text_sha256").agg(
+            F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"), F.count("*").alias("group_size")
+        ).withColumn("__n", F.col("group_size"))
     )
-    repeated = maybe.join(groups, "text_sha256").select(
+    total = groups.agg(F.sum("__n")).first()[0] or 0
+    repeated = join_groups(maybe, groups, "text_sha256", total).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
