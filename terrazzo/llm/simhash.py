@@ -10,13 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hinted, keep_one, min_label_components, row_key, table, texts_of
+from .common import checkpoint, hinted, join_groups, keep_one, min_label_components, row_key, table, texts_of
 
 #: Fingerprints link at so many differing bits or fewer.
 MAX_BITS = 4
 WORDS = 4
 SEED = 42
-#: The 32 two-bit segments form 8 blocks; two linked fingerprints agree in the counts of 4 blocks at least.
+#: The 32 two-bit segments form 8 blocks; two linked fingerprints agree in the counts of 4 blocks at least. With more
+#: fingerprints than these, segments have one bit, so that a cell fixes 32 bits in the place of 24.
+WIDE_SEGMENTS = 1 << 26
+#: A cell with more members than these is cut into the cells of another grid, this often at most.
+CROWD, REFINEMENTS = 64, 2
 BLOCKS = 8
 LOW_BITS = 0x5555555555555555
 #: Each choice of 4 blocks: its number from bit 32 on, and below, a byte for each chosen block's place in the fingerprint.
@@ -80,13 +84,26 @@ def cell(emb: Column, choice: Column) -> Column:
     return key
 
 
-def spread(df: DataFrame, tasks: int) -> DataFrame:
-    """df(fp, ...) with each row once for each of its cells, over so many tasks.
+def transposed(fp: Column) -> Column:
+    """The fingerprint as 8 by 8 bits, rows and columns exchanged: blocks that have every eighth bit."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift)).bitwiseAND(F.lit(mask))
+        fp = fp.bitwiseXOR(t).bitwiseXOR(F.shiftleft(t, shift))
+    return fp
+
+
+def rotated(fp: Column) -> Column:
+    """The fingerprint turned by half a block."""
+    return F.shiftleft(fp, 4).bitwiseOR(F.shiftrightunsigned(fp, 60))
+
+
+def spread(df: DataFrame, tasks: int, emb: Column) -> DataFrame:
+    """df(fp, ...) with each row once for each of its cells of the grid over ``emb``, over so many tasks.
 
     Each row becomes 70, so that few and small partitions must not decide how many tasks do this. The choices are
     data, not 70 expressions, which keeps plans, and so the driver's memory, small.
     """
-    embedded = df.repartition(tasks).select(*df.columns, embedding(F.col("fp")).alias("__emb"))
+    embedded = df.repartition(tasks).select(*df.columns, emb.alias("__emb"))
     exploded = embedded.select(*df.columns, "__emb", F.explode(F.lit(CHOICES)).alias("__choice"))
     return exploded.select(cell(F.col("__emb"), F.col("__choice")).alias("cell"), *df.columns)
 
@@ -97,44 +114,63 @@ def _linked(a: str, b: str) -> Column:
     return (F.bit_count(embedding(x).bitwiseXOR(embedding(y))) <= MAX_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
-    """(fp, root) for fingerprints of ``distinct(fp)`` that link to others; root is one of the component.
+def mixed_links(members: DataFrame, tasks: int, crowd: int = CROWD) -> DataFrame:
+    """(a, b): roots of ``members(cell, fp, root)`` that links inside a cell join.
 
-    No cell ever meets in one task or emits all its pairs:
+    Only fingerprints of different components are of interest: in each cell those outside the commonest component
+    meet the cell's others. Cells of more than ``crowd`` members are cut first: each member goes to the cells of another
+    grid, over other bits, within its own, where two linked ones still meet for certain, and unrelated ones seldom.
+    """
+    found = None
+    for level in range(REFINEMENTS + 1):
+        by_root = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
+        cells = by_root.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("__n"))
+        cells = checkpoint(cells.where("roots > 1").select("cell", F.col("top.root").alias("top"), F.col("__n").alias("size"), "__n"))
+        mixed = checkpoint(join_groups(members, cells, "cell", members.count()))
+        big = mixed.where(F.col("size") > crowd).select("cell", "fp", "root")
+        last = level == REFINEMENTS or big.isEmpty()
+        small = mixed if last else mixed.where(F.col("size") <= crowd)
+        left = small.where("root <> top").select("cell", F.col("fp").alias("x"), F.col("root").alias("a"))
+        right = small.select("cell", F.col("fp").alias("y"), F.col("root").alias("b"))
+        more = left.join(right, "cell").where((F.col("a") != F.col("b")) & _linked("x", "y")).select("a", "b")
+        found = more if found is None else found.union(more)
+        if last:
+            return found
+        emb = transposed(F.col("fp")) if level == 0 else rotated(F.col("fp"))
+        inner = spread(big.withColumnRenamed("cell", "outer"), tasks, emb)
+        members = checkpoint(inner.select(F.xxhash64("outer", "cell").alias("cell"), "fp", "root"))
+    raise AssertionError("the last level returns")
+
+
+def link_fingerprints(distinct: DataFrame, wide_segments: int = WIDE_SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """(fp, root) for each of ``distinct(fp)``; root is one fingerprint of the component.
+
+    The range join of radius 4 in count space runs as equality joins on cells (see ``cell``):
 
     1. Each cell is reduced to its count and its least and greatest fingerprint, with partial aggregation. The two
        link if they are close enough. A cell of two is then done with.
-    2. The components of those links are found. In cells of three and more, only fingerprints of different
-       components are still of interest: those outside the cell's commonest component are joined to the cell's
-       others, verified, and the components are joined by what is found.
+    2. The components of those links are found. In cells of three and more, what is left between different components
+       is verified (see ``mixed_links``), and the components are joined by what is found.
     """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = distinct.count()
+    emb = embedding(F.col("fp")) if n <= wide_segments else F.col("fp")
     reduced = checkpoint(
-        spread(distinct, tasks)
+        spread(distinct, tasks, emb)
         .groupBy("cell")
         .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("n > 1")
     )
     first = min_label_components(reduced.where(_linked("a", "b")).select("a", "b"))
-    named = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")
+    named = checkpoint(
+        distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     )
     crowded = checkpoint(reduced.where("n > 2").select("cell"))
-    members = checkpoint(spread(named, tasks).join(hinted(crowded, 64), "cell", "left_semi"))
-    by_root = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    commonest = (
-        by_root.groupBy("cell")
-        .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-        .where("roots > 1")
-        .select("cell", F.col("top.root").alias("top"))
-    )
-    mixed = checkpoint(members.join(commonest, "cell"))
-    left = mixed.where("root <> top").select("cell", F.col("fp").alias("x"), F.col("root").alias("a"))
-    right = mixed.select("cell", F.col("fp").alias("y"), F.col("root").alias("b"))
-    more = left.join(right, "cell").where((F.col("a") != F.col("b")) & _linked("x", "y")).select("a", "b")
-    second = min_label_components(more).select(F.col("node").alias("root"), F.col("root").alias("final"))
-    out = named.join(second, "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
-    return checkpoint(out)
+    members = checkpoint(spread(named, tasks, emb).join(hinted(crowded, 64), "cell", "left_semi"))
+    second = min_label_components(mixed_links(members, tasks, crowd)).select(F.col("node").alias("root"), F.col("root").alias("final"))
+    roots = named.groupBy("root").agg(F.count("*").alias("__n")).join(second, "root", "left")
+    roots = checkpoint(roots.select("root", F.coalesce("final", "root").alias("final"), "__n"))
+    return checkpoint(join_groups(named, roots, "root", n).select("fp", F.col("final").alias("root")))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -148,11 +184,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     rows = checkpoint(fingerprints(docs))
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = link_fingerprints(distinct.select("fp"))
-    known = distinct.join(roots, "fp")
-    whole = known.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    named = checkpoint(known.join(whole, "root").select("fp", "component_id", "group_size"))
-    return rows.join(named, "fp").select(
+    known = checkpoint(distinct.join(link_fingerprints(distinct.select("fp")), "fp"))
+    whole = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("__n")))
+    sizes = whole.agg(F.sum("__n"), F.sum("group_size")).first()
+    named = checkpoint(join_groups(known, whole, "root", sizes[0] or 0).select("fp", "component_id", "group_size", F.col("n").alias("__n")))
+    return join_groups(rows, named, "fp", sizes[1] or 0).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size"
     )
 
