@@ -9,6 +9,8 @@ from .common import WORD, checkpoint, hinted, table
 
 #: The mixture holds this share of all tokens; no document occurs more often than MAX_EPOCHS times.
 SHARE, MAX_EPOCHS, SEED = 0.5, 3, "mix-1"
+#: Whole-number weights by level and value; all others weigh 1. A weight of 0 leaves a value out.
+WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 5, "src3": 2}}
 #: Hexadecimal digits of the order key that number the buckets of a leaf.
 DIGITS = 3
 LEVELS = ("domain", "lang", "source")
@@ -25,10 +27,11 @@ def fill(children: DataFrame, parents: DataFrame | int, parent: tuple[str, ...],
 
     children: parent columns, ``name``, capacity, weight; parents: parent columns, budget, or the root's budget. What a child can't use goes
     to its siblings by weight. As a capacity is that of the whole subtree, only what all siblings together can't use
-    was never given to their parent: shortages stay among siblings before they reach ancestors. All whole numbers.
+    was never given to their parent: shortages stay among siblings before they reach ancestors. All whole numbers. A
+    child without weight has no capacity and gets nothing.
     """
     # Children fill up in the order of capacity by weight.
-    order = [F.col("capacity").cast("double") / F.col("weight"), F.col(name)]
+    order = [F.coalesce(F.try_divide(F.col("capacity").cast("double"), F.col("weight").cast("double")), F.lit(0.0)), F.col(name)]
     group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rest = group.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -50,12 +53,14 @@ def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict
             out = F.when(F.col(level) == value, F.lit(int(w)).cast("long")).otherwise(out)
         return out
 
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    weighed = leaves.withColumns({f"__{level}": weight(level) for level in LEVELS})
+    # Nothing under a weight of 0 can be used, so that ancestors count on none of it.
+    leaves = weighed.withColumn("capacity", F.when(F.least(*(F.col(f"__{level}") for level in LEVELS)) > 0, F.col("tokens") * max_epochs).otherwise(0))
     budgets: DataFrame | int = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share)).cast("long")).first()[0]
     for depth, level in enumerate(LEVELS):
-        nodes = leaves.groupBy(*LEVELS[: depth + 1]).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(level))
+        nodes = leaves.groupBy(*LEVELS[: depth + 1]).agg(F.sum("capacity").alias("capacity"), F.max(f"__{level}").alias("weight"))
         budgets = fill(nodes, budgets.select(*LEVELS[:depth], "budget") if depth else budgets, LEVELS[:depth], level)
-    return leaves.drop("capacity").join(budgets.drop("capacity"), list(LEVELS))
+    return leaves.select(*LEVELS, "tokens").join(budgets.drop("capacity"), list(LEVELS))
 
 
 def mixed(
@@ -69,18 +74,28 @@ def mixed(
     """The selected rows of docs with all their columns and ``domain``, ``n_tokens`` and ``copies``.
 
     The tree has domains, in them languages, in them sources. ``weights`` gives whole-number weights by level and
-    value; all others are 1. The root's budget is ``share`` of all tokens (words between white space), and shares
+    value (WEIGHTS by default); all others are 1. The root's budget is ``share`` of all tokens (words between white space), and shares
     run down the tree (see ``fill``). A leaf holds up to ``max_epochs`` times its tokens. Its budget is spent on whole
     epochs first; of the next epoch, whose order is that of md5(seed, epoch, doc_id), it takes the longest prefix within
     what is left. copies is the number of epochs that a document is in; documents in none are dropped.
 
     A leaf's order is cut into 4096 buckets by the key's first digits. Sums by bucket show which one holds the end of
-    the prefix; only rows there are sorted, so that a source with a third of all rows is no single task's work.
-    Null languages and sources count as empty names. Null texts have no tokens. Documents with equal order keys (a
-    repeated doc_id; a null id counts as empty) are taken or left together. An empty table gives an empty result.
+    the prefix; only keys there are sorted, summed by key before, so that neither a source with a third of all rows nor
+    an id that often repeats is a single task's work. Null languages and sources count as empty names. Null texts have no
+    tokens. Documents of a leaf with equal order keys (a repeated doc_id; a null id counts as empty) are taken or left
+    together; those of other leaves stand for themselves. An empty table gives an empty result. Columns of docs named
+    domain, n_tokens or copies are replaced, whatever their case; all others are kept, whatever their names.
     """
+    weights = WEIGHTS if weights is None else weights
     taken = {c.lower() for c in docs.columns}
-    marks = {k: f"__{k}" + "_" * sum(1 for c in taken if c.startswith(f"__{k}")) for k in ("domain", "lang", "source", "tokens", "id")}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    marks = {k: free(f"__{k}") for k in ("domain", "lang", "source", "tokens", "id")}
+    own = {k: free(f"__mix_{k}") for k in ("epochs", "edge", "key", "chosen")}
     source = F.coalesce(F.col("source"), F.lit(""))
     keys = {
         marks["domain"]: default_domain(source) if domain is None else domain,
@@ -92,7 +107,7 @@ def mixed(
     keyed = docs.withColumns(keys)
     narrow = checkpoint(keyed.select(*(F.col(v).alias(k) for k, v in marks.items())))
     leaves = checkpoint(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
-    budgets = leaf_budgets(leaves, share, max_epochs, weights or {})
+    budgets = leaf_budgets(leaves, share, max_epochs, weights)
     plan = checkpoint(
         budgets.select(
             *LEVELS,
@@ -112,16 +127,20 @@ def mixed(
     whole = plan.join(edge, list(LEVELS), "left").select(*LEVELS, "epochs", F.col("edge.bucket").alias("edge"), F.col("edge.room").alias("room"))
     whole = checkpoint(whole)
     inner = ordered.drop("rest").join(hinted(whole.drop("epochs"), 256, n_leaves), list(LEVELS)).where("bucket = edge")
-    within = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    part = inner.withColumn("sum", F.sum("tokens").over(within)).where("sum <= room").select("key", F.lit(True).alias("chosen")).distinct()
-    part = checkpoint(part)
-
-    leaf = whole.select(*(F.col(c).alias(marks[c]) for c in LEVELS), F.struct("epochs", "edge").alias("__plan"))
-    out = keyed.join(hinted(leaf, 256, n_leaves), [marks[c] for c in LEVELS])
-    out = out.withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), "__plan.epochs", marks["id"]).cast("binary")))
-    out = out.join(hinted(part.withColumnRenamed("key", "__key"), 96), "__key", "left")
-    before = F.coalesce(F.substring("__key", 1, DIGITS) < F.col("__plan.edge"), F.lit(True)) & (F.col("__plan.epochs") < max_epochs)
-    copies = F.col("__plan.epochs") + F.when(before | F.col("chosen"), 1).otherwise(0)
+    inner = inner.groupBy(*LEVELS, "key", "room").agg(F.sum("tokens").alias("tokens"))
+    within = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = checkpoint(inner.withColumn("sum", F.sum("tokens").over(within)).where("sum <= room").select(*LEVELS, "key"))
+
+    on = [marks[c] for c in LEVELS]
+    leaf = whole.select(*(F.col(c).alias(marks[c]) for c in LEVELS), F.col("epochs").alias(own["epochs"]), F.col("edge").alias(own["edge"]))
+    out = keyed.join(hinted(leaf, 256, n_leaves), on)
+    out = out.withColumn(own["key"], F.md5(F.concat_ws(":", F.lit(seed), own["epochs"], marks["id"]).cast("binary")))
+    # Keys chosen in edge buckets, each of its own leaf; rows of other buckets need none.
+    chosen = part.select(*(F.col(c).alias(marks[c]) for c in LEVELS), F.col("key").alias(own["key"]), F.lit(True).alias(own["chosen"]))
+    out = out.join(hinted(chosen, 256), [*on, own["key"]], "left")
+    bucket = F.substring(own["key"], 1, DIGITS)
+    before = F.coalesce(bucket < F.col(own["edge"]), F.lit(True)) & (F.col(own["epochs"]) < max_epochs)
+    copies = F.col(own["epochs"]) + F.when(before | F.coalesce(own["chosen"], F.lit(False)), 1).otherwise(0)
     named = {"domain": F.col(marks["domain"]), "n_tokens": F.col(marks["tokens"]), "copies": copies.cast("long")}
     out = out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in named), *(c.alias(k) for k, c in named.items()))
     return out.where("copies > 0")
@@ -131,19 +150,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def _weight_sql(level: str) -> str:
+    known = " ".join(f"WHEN '{value}' THEN {int(w)}" for value, w in WEIGHTS.get(level, {}).items())
+    return f"CASE {level} {known} ELSE 1 END" if known else "1"
+
+
 def _level_sql(depth: int) -> str:
     level, parent = LEVELS[depth], LEVELS[:depth]
     on = " AND ".join(f"n.{c} = p.{c}" for c in parent) or "TRUE"
     cols = ", ".join(f"n.{c}" for c in LEVELS[: depth + 1])
     by = "PARTITION BY " + (", ".join(parent) or "0")
     return f"""
-n{depth} AS (SELECT {", ".join(LEVELS[: depth + 1])}, sum(tokens) * {MAX_EPOCHS} AS capacity, 1 AS weight FROM leaves GROUP BY ALL),
+n{depth} AS (SELECT {", ".join(LEVELS[: depth + 1])}, sum(usable) * {MAX_EPOCHS} AS capacity, {_weight_sql(level)} AS weight FROM leaves GROUP BY ALL),
 o{depth} AS (
   SELECT {cols}, n.capacity, n.weight, p.budget FROM n{depth} n JOIN b{depth} p ON {on}
 ), f{depth} AS (
   SELECT *, capacity * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
     <= weight * (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full
-  FROM o{depth} WINDOW w AS ({by} ORDER BY capacity::DOUBLE / weight, {level})
+  FROM o{depth} WINDOW w AS ({by} ORDER BY CASE WHEN weight = 0 THEN 0 ELSE capacity::DOUBLE / weight END, {level})
 ), b{depth + 1} AS (
   SELECT {", ".join(LEVELS[: depth + 1])}, CASE WHEN is_full THEN capacity ELSE
     weight * (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by})) // greatest(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}), 1)
@@ -159,7 +183,8 @@ WITH d AS (
 ), k AS (
   SELECT *, CASE WHEN md5(s) < '4' THEN 'a' WHEN md5(s) < '8' THEN 'b' WHEN md5(s) < 'c' THEN 'c' ELSE 'd' END AS domain FROM d
 ), leaves AS (
-  SELECT domain, l AS lang, s AS source, sum(n_tokens)::BIGINT AS tokens FROM k GROUP BY ALL
+  SELECT *, CASE WHEN least({", ".join(map(_weight_sql, LEVELS))}) > 0 THEN tokens ELSE 0 END AS usable
+  FROM (SELECT domain, l AS lang, s AS source, sum(n_tokens)::BIGINT AS tokens FROM k GROUP BY ALL)
 ), b0 AS (
   SELECT floor(sum(tokens) * {SHARE})::BIGINT AS budget FROM leaves
 ), {", ".join(_level_sql(x).strip() for x in range(3))}
