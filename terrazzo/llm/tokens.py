@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +16,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a chunk, and of the first overlap tried; texts up to one chunk are encoded whole.
 CHUNK, OVERLAP = 1 << 15, 1 << 8
 LIMIT = 1024
-#: Most words whose token count a worker remembers.
-REMEMBERED = 400_000
+#: Most characters of the words whose token count a worker remembers.
+REMEMBERED = 8_000_000
 
 #: Fixed value: how byte-level BPE files split texts into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,17 +27,28 @@ UNSURE = re.compile(r"[^\t-\r\x20-\x7eÀ-ɏ]")
 FULL = regex.compile(SPLIT)
 
 
+def _drops_blanks(splitter: dict) -> bool:
+    """Whether a splitter's own pattern removes blanks, so that none is in any word."""
+    steps = splitter.get("pretokenizers") or [splitter]
+    return any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") and " " not in "".join((x.get("pattern") or {}).values()) for x in steps)
+
+
 class TokenCounter:
     """Counts tokens as the vocabulary file's library does, without begin, end or other added tokens."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.chunk, self.overlap = chunk, overlap
         self.known: dict[str, int] = {}
-        self.model = self.specials = None
+        self.held = 0
+        self.model = self.specials = self.blanks = None
         if path.endswith(".model"):
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            mark = "\u2581"
+            pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+            self.blanks = None if any(mark in p.lstrip(mark) for p in pieces) else "first"
+            self.by_words = False
             return
         import json
 
@@ -56,16 +67,18 @@ class TokenCounter:
             plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
             and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
         )
-        if self.by_words and added:
+        self.blanks = "first" if self.by_words else "dropped" if _drops_blanks(before) else None
+        if added and self.blanks:
             # Longest first; the library also takes the leftmost and then the longest.
             self.specials = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))))
 
     def _learn(self, words: set[str]) -> None:
         """Ask the library for words that are not known yet."""
         new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        self.held += sum(map(len, new))
+        if self.held > REMEMBERED:
             self.known.clear()
-            new = list(words)
+            new, self.held = list(words), sum(map(len, words))
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             self.known.update(zip(part, map(len, self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
@@ -74,48 +87,71 @@ class TokenCounter:
     def _splitter(text: str):
         return FULL if UNSURE.search(text) else QUICK
 
-    def _chunks(self, text: str) -> Iterator[list[str]]:
-        """The words of a huge text, chunk by chunk.
+    def _stable(self, text: str, at: int, words: set[int] | None) -> bool:
+        """Whether tokens on both sides of a token boundary are proven to be those of the whole text.
+
+        No token of these vocabularies holds a blank after another character: byte-level splitters put a blank first,
+        lower-casing ones drop blanks, and for pieces this is looked up once. So what begins at such a blank, or
+        after a dropped one, is encoded as if the text began there. Besides, byte-level splitters go from left to right
+        and look ahead one character at most, so that a word boundary that splits from two beginnings share is one
+        of the whole text.
+        """
+        before, here = text[at - 1], text[at]
+        if self.blanks == "first" and here == " " and not before.isspace():
+            return True
+        if self.blanks == "dropped" and before == " " and not here.isspace():
+            return True
+        return words is not None and at in words
+
+    def _encode(self, text: str, at: int, end: int) -> tuple[list[int], set[int] | None]:
+        """Where each token of a chunk begins, as places in the text, and where its words do, if words stand alone."""
+        part = text[at:end]
+        if self.model is not None:
+            pieces = self.model.encode(part, return_type="proto", num_threads=1).pieces
+            # The library counts bytes; a place inside a character is that of the character.
+            lead = np.cumsum((np.frombuffer(part.encode() + b" ", np.uint8) & 0xC0) != 0x80) - 1
+            return [at + int(lead[p.begin]) for p in pieces], None
+        got = self.library.encode(part, add_special_tokens=False)
+        starts = [at + a for a, _ in got.offsets]
+        if not self.by_words:
+            return starts, None
+        ids = got.word_ids
+        return starts, {s for k, s in enumerate(starts) if k == 0 or ids[k] != ids[k - 1]}
+
+    def _count_long(self, text: str) -> int:
+        """Tokens of a huge text, encoded in overlapping chunks with offsets.
 
-        Each chunk is split by itself, with offsets. A split goes from left to right and looks ahead one character at
-        most, so a boundary before a chunk's end is final if the chunk began at a true boundary; and once two splits
-        share a boundary, they agree from there on. So the next chunk, which begins anywhere in the overlap, is
-        spliced on at the first boundary that both have. If they share none, the overlap is doubled, if need be to
-        the whole chunk, where the chunk is split on from its own beginning.
+        A chunk and the next, which begins within it, are spliced at the first boundary in their overlap that both have and
+        that is stable: tokens before it are the former's, tokens from it on the latter's. If there is none, the
+        overlap is doubled, if need be to the whole of the former chunk, and the next chunk grows with it, so that a
+        text without any stable boundary is at last encoded in one piece.
         """
-        split, start, n = self._splitter(text), 0, len(text)
-        end = min(n, self.chunk)
-        spans = [m.span() for m in split.finditer(text, 0, end)]
+        n, total, origin, start, end = len(text), 0, 0, 0, min(len(text), self.chunk)
+        starts, words = self._encode(text, origin, end)
         while end < n:
-            overlap, size = self.overlap, max(self.chunk, 2 * (end - start))
+            overlap = self.overlap
             while True:
                 at = max(start, end - overlap)
-                far = min(n, at + max(self.chunk, 2 * overlap))
-                more = [m.span() for m in split.finditer(text, at, far)]
-                ours = {b: i for i, (a, b) in enumerate(spans) if at < b < end} if at > start else {start: -1}
-                k = next((i for i, (a, _) in enumerate(more) if a in ours), None)
-                if k is not None:
-                    cut = more[k][0]
-                    yield [text[a:b] for a, b in spans[: ours[cut] + 1]]
-                    spans, start, end = more[k:], cut, far
+                far = min(n, max(end, at) + max(self.chunk, overlap))
+                cut = start
+                if at > start:
+                    more, others = self._encode(text, at, far)
+                    ours, shared = set(starts), None if words is None else words & others
+                    # A chunk's last character may yet change its word.
+                    cut = next((b for b in more if at < b < end - 1 and b in ours and self._stable(text, b, shared)), None)
+                if cut is not None:
                     break
-                if at == start:
-                    raise AssertionError("a split from a true boundary begins there")
                 overlap *= 2
-            del size
-        yield [text[a:b] for a, b in spans]
-
-    def _words(self, text: str) -> Iterator[list[str]]:
-        if len(text) > self.chunk:
-            yield from self._chunks(text)
-        elif text:
-            yield self._splitter(text).findall(text)
+            if at > start:
+                total += sum(b < cut for b in starts)
+                origin, start = at, cut
+            else:  # the chunk itself grows, from where it was begun
+                more, others = self._encode(text, origin, far)
+            starts, words = [b for b in more if b >= start], None if others is None else {b for b in others if b >= start}
+            end = far
+        return total + len(starts)
 
     def count(self, texts: list[str]) -> list[int]:
-        if self.model is not None:
-            return [len(self.model.encode(t, num_threads=1)) for t in texts]
-        if not self.by_words:
-            return [len(self.library.encode(t, add_special_tokens=False)) for t in texts]
         out = []
         for text in texts:
             parts, extra = [text], 0
@@ -123,7 +159,14 @@ class TokenCounter:
                 parts = self.specials.split(text)
                 extra = len(parts) - 1
             for part in parts:
-                for words in self._words(part):
+                if len(part) > self.chunk:
+                    extra += self._count_long(part)
+                elif self.model is not None:
+                    extra += len(self.model.encode(part, num_threads=1))
+                elif not self.by_words:
+                    extra += len(self.library.encode(part, add_special_tokens=False))
+                elif part:
+                    words = self._splitter(part).findall(part)
                     try:
                         extra += sum(map(self.known.__getitem__, words))
                     except KeyError:
