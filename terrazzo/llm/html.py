@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -39,7 +39,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHARE, INNER_SHARE = 0.25, 0.01
 #: What a name multiplies the ratios of an element by, unless the element holds more than half of the high-ratio text.
 OTHER_WEIGHT = 0.002
-#: Elements, roles and words of class or id whose content is seldom part of an article.
+#: Elements, roles and names of class or id whose content is seldom part of an article.
 OTHER_TAGS = frozenset("nav footer aside form button select dialog menu fieldset datalist".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OTHER_WORDS = frozenset(
@@ -48,19 +48,25 @@ OTHER_WORDS = frozenset(
     footer header masthead topbar toolbar comment comments commentlist discussion disqus respond reply replies share sharing social related
     recommended widget pagination pager search skip""".split()
 )
+#: Parts that may stand beside those words in one name, as in site-footer, without making it another.
+PLAIN_WORDS = frozenset("site page main global top bottom left right primary secondary box bar list wrapper container wrap area section block inner outer links item items form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
 
-@dataclass
 class Node:
-    tag: str
-    path: str
-    parent: Node | None
-    other: bool = False
-    header: bool = False
-    score: float = 0.0
-    weight: float = 1.0
-    children: list[Node] = field(default_factory=list)
+    """An element. ``path`` is the number of its path of tags from the root: elements of one path share it."""
+
+    __slots__ = ("tag", "path", "parent", "other", "header", "score", "weight", "holder", "link", "article", "aside", "lone")
+
+    def __init__(self, tag: str, path: int, parent: Node | None, other: bool = False, header: bool = False):
+        self.tag, self.path, self.parent, self.other, self.header = tag, path, parent, other, header
+        self.score, self.weight = 0.0, 1.0
+        #: The nearest element here or above that is no inline one.
+        self.holder = self if parent is None or tag not in INLINE else parent.holder
+        #: How many more inner elements are taken to stand in the link, if any.
+        self.link = 3 if tag == "a" else max(0, parent.link - 1) if parent else 0
+        self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.aside = tag in ("nav", "footer") or parent is not None and parent.aside
 
 
 @dataclass
@@ -71,8 +77,18 @@ class Block:
     linked: int = 0
 
 
-def _is_other(tag: str, raw: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element's own name or attributes speak against it, and whether it is a header."""
+def _named_other(names: str) -> set[str]:
+    """The telling words of those names, whole ones, that say what is no part of an article."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = set(re.split(r"[-_]+", name)) - {""}
+        if parts & OTHER_WORDS and parts <= OTHER_WORDS | PLAIN_WORDS:
+            found |= parts & OTHER_WORDS
+    return found
+
+
+def _is_other(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether an element's own tag, name or attributes speak against it, and whether it is a header."""
     if tag in OTHER_TAGS:
         return True, False
     header = tag == "header"
@@ -83,23 +99,25 @@ def _is_other(tag: str, raw: str, parent: Node) -> tuple[bool, bool]:
                 return True, False
             if name == "role" and value in OTHER_ROLES:
                 return True, False
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p"):
-                words = set(re.split(r"[^a-z]+", value))
-                if "header" in words and not words & (OTHER_WORDS - {"header"}):
+            if name in ("class", "id") and tag not in ("html", "body"):
+                words = _named_other(value)
+                if tag in ("article", "p", "main"):
+                    # A comment may be an article of its own, and a notice a paragraph.
+                    words -= {"header", "related", "search"}
+                if words == {"header"}:
                     header = True
-                elif words & OTHER_WORDS:
-                    return True, False
-            elif name in ("class", "id") and tag in ("article", "p", "main"):
-                # A comment may be an article of its own, and a notice a paragraph.
-                if set(re.split(r"[^a-z]+", value)) & (OTHER_WORDS - {"header", "related", "search"}):
+                elif words:
                     return True, False
     return False, header
 
 
-def blocks_of(html: str) -> tuple[Node, list[Block]]:
-    """The tree of elements, and the blocks of text in page order with the element that each stands in."""
-    root = Node("", "", None)
-    stack, blocks, current = [root], [], None
+def blocks_of(html: str) -> tuple[list[Node], list[Block]]:
+    """The elements, each after its parent and the root first, and the blocks of text in page order with the element that
+    each stands in. Time and memory grow with the page, however deep its elements are nested."""
+    root = Node("", 0, None)
+    nodes, stack, blocks, current = [root], [root], [], None
+    paths: dict[tuple[int, str], int] = {}
+    open_: Counter[str] = Counter()
     at, n = 0, len(html)
 
     def add(piece: str) -> None:
@@ -107,13 +125,16 @@ def blocks_of(html: str) -> tuple[Node, list[Block]]:
         if current is None:
             if not piece or piece.isspace():
                 return
-            holder = next((x for x in reversed(stack) if x.tag not in INLINE), root)
-            current = Block(holder, [])
+            current = Block(stack[-1].holder, [])
             blocks.append(current)
         current.parts.append(piece)
-        if any(x.tag == "a" for x in stack[-3:]):
+        if stack[-1].link:
             current.linked += len(piece)
 
+    def close(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
@@ -132,9 +153,9 @@ def blocks_of(html: str) -> tuple[Node, list[Block]]:
             add(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in STOPS and tag not in STOPS:
                     break
@@ -146,23 +167,24 @@ def blocks_of(html: str) -> tuple[Node, list[Block]]:
             at = end.end() if end else n
             continue
         gone = CLOSES.get(tag, {"p"} if tag in ENDS_P else ())
-        if gone:
+        if gone and any(open_[x] > 0 for x in gone):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in gone:
-                    del stack[k:]
+                    close(k)
                     if tag not in ("tr", "tbody"):
                         break
                 elif stack[k].tag in STOPS:
                     break
         parent = stack[-1]
-        other, header = (False, False) if tag in INLINE else _is_other(tag, raw or "", parent)
+        other, header = (False, False) if tag in INLINE else _is_other(tag, raw or "")
         if not raw.rstrip().endswith("/") or tag not in ("path", "circle"):
-            node = Node(tag, f"{parent.path}>{tag}", parent, other, header)
-            parent.children.append(node)
+            node = Node(tag, paths.setdefault((parent.path, tag), len(paths) + 1), parent, other, header)
+            nodes.append(node)
             stack.append(node)
+            open_[tag] += 1
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return root, [b for b in blocks if b.text]
+    return nodes, [b for b in blocks if b.text]
 
 
 def ratios(blocks: list[Block]) -> np.ndarray:
@@ -185,33 +207,47 @@ def ratios(blocks: list[Block]) -> np.ndarray:
     return smooth(text) * (1 + smooth(mark))
 
 
-def _score(blocks: list[Block], chosen: np.ndarray) -> None:
+def _score(nodes: list[Node], blocks: list[Block], chosen: np.ndarray) -> None:
     """Sum the unlinked text of chosen blocks up the tree."""
-    for b in blocks:
-        node = b.node
-        while node is not None:
-            node.score = 0.0
-            node = node.parent
+    for node in nodes:
+        node.score = 0.0
     for b, taken in zip(blocks, chosen, strict=True):
-        node = b.node if taken else None
-        while node is not None:
-            node.score += max(0, len(b.text) - b.linked)
-            node = node.parent
+        if taken:
+            b.node.score += max(0, len(b.text) - b.linked)
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.score += node.score
 
 
-def _weights(root: Node, beside: bool) -> None:
+def _weights(nodes: list[Node], beside: bool) -> None:
     """The weight of each element, from the names at and above it. A name of an element that holds most of the scored text
     doesn't count, but the tags nav and footer do if there is an article beside them with scored text (``beside``)."""
-    todo = [root]
-    while todo:
-        node = todo.pop()
+    whole = nodes[0].score
+    for node in nodes:
         above = node.parent.weight if node.parent else 1.0
-        if (node.other or node.header) and (2 * node.score <= root.score or beside and node.tag in ("nav", "footer")):
-            # Headers hold the article's headings at most.
-            node.weight = above * OTHER_WEIGHT
-        else:
-            node.weight = above
-        todo += node.children
+        # Headers hold the article's headings at most.
+        counts = (node.other or node.header) and (2 * node.score <= whole or beside and node.tag in ("nav", "footer"))
+        node.weight = above * OTHER_WEIGHT if counts else above
+        #: Whether names speak against this element alone, and against none above it.
+        node.lone = counts and above == 1
+
+
+def _content(nodes: list[Node]) -> Node:
+    """The innermost element, from the root on, that holds most of the scored text of those around it."""
+    children, headed = {}, set()
+    for node in nodes[1:]:
+        children.setdefault(id(node.parent), []).append(node)
+        if node.tag in HEADINGS:
+            headed.add(id(node.parent))
+    node = nodes[0]
+    while node.tag not in ("article", "main"):
+        best = max(children.get(id(node), ()), key=lambda x: x.score, default=None)
+        if best is None or best.tag not in STOPS or best.score < 0.6 * node.score or not best.score:
+            break
+        if best.tag in ("ul", "ol", "dl", "blockquote", "figure") or best.tag == "div" and id(node) in headed:
+            break  # a heading beside the text belongs to it
+        node = best
+    return node
 
 
 def extract(html: str) -> str:
@@ -220,14 +256,13 @@ def extract(html: str) -> str:
     Blocks are chosen by their path's fused ratio. Names of elements only weigh the ratios. A heading is chosen with
     the text that it heads, and a block of a low ratio in the element that holds the chosen text unless it is mostly links.
     """
-    root, blocks = blocks_of(html)
+    nodes, blocks = blocks_of(html)
     if not blocks:
         return ""
     fused = ratios(blocks)
     high = fused >= SHARE * fused.mean()
-    _score(blocks, high)
-    articles = [b.node.path.split(">") for b, taken in zip(blocks, high, strict=True) if taken]
-    _weights(root, any({"article", "main"} & set(x) and not {"nav", "footer"} & set(x) for x in articles))
+    _score(nodes, blocks, high)
+    _weights(nodes, any(b.node.article and not b.node.aside for b, taken in zip(blocks, high, strict=True) if taken))
     weight = np.array([b.node.weight for b in blocks])
     linked, whole = defaultdict(int), defaultdict(int)
     for b in blocks:
@@ -238,33 +273,22 @@ def extract(html: str) -> str:
     weighed = fused * weight
     free = weight == 1
     chosen = (weighed >= SHARE * weighed.mean()) & (free | (weighed > 0)) & own
-    _score(blocks, chosen)
-    node = root
-    while node.tag not in ("article", "main"):
-        best = max(node.children, key=lambda x: x.score, default=None)
-        if best is None or best.tag not in STOPS or best.score < 0.6 * node.score or not best.score:
-            break
-        if best.tag in ("ul", "ol", "dl", "blockquote", "figure") or best.tag == "div" and any(c.tag in HEADINGS for c in node.children):
-            break  # a heading beside the text belongs to it
-        node = best
-
-    def under(x: Node | None, test) -> bool:
-        while x is not None and not test(x):
-            x = x.parent
-        return x is not None
-
+    _score(nodes, blocks, chosen)
+    content, inside = _content(nodes), set()
+    for node in nodes:
+        if node is content or id(node.parent) in inside:
+            inside.add(id(node))
     least = INNER_SHARE * weighed.mean()
     for k, b in enumerate(blocks):
         if free[k] and weighed[k] >= least and own[k]:
-            chosen[k] |= under(b.node, lambda x: x is node)
+            chosen[k] |= id(b.node) in inside
     follows = False
     for k in range(len(blocks) - 1, -1, -1):
         b = blocks[k]
         if b.node.tag in HEADINGS:
             # Of named elements a header in an article may hold its heading, and a heading's own name says nothing.
-            lone = b.node.weight == b.node.parent.weight * OTHER_WEIGHT and b.node.parent.weight == 1
-            titled = b.node.parent.header and under(b.node, lambda x: x.tag in ("article", "main"))
-            chosen[k] |= follows and (free[k] or lone or titled)
+            titled = b.node.parent.header and b.node.article
+            chosen[k] |= follows and (free[k] or b.node.lone or titled)
         else:
             follows = bool(chosen[k])
     return "\n".join(b.text for b, taken in zip(blocks, chosen, strict=True) if taken)
