@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, release, sample_below, table, texts_of
 
-#: The field learns from about so many labelled documents, chosen by a hash of their id.
-MAX_DOCS = 5000
+#: The field learns from so many labelled documents at most, and from so many of their lines, chosen by a hash of the id.
+MAX_DOCS, MAX_LINES = 5000, 200_000
 THRESHOLD = 0.3
 STEPS = 120
 #: Bytes of text whose lines are scored together.
@@ -200,9 +200,12 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineField | None:
-    """Learn from about ``max_docs`` labelled documents that are not held out; executors turn texts into features.
+def fit_quality_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineField | None:
+    """Learn from labelled documents that are not held out; executors turn texts into features.
 
+    Of about ``max_docs`` of them, chosen by a hash of their id, whole documents are taken in the order of another hash as long as
+    all their lines together are ``max_lines`` at most, so that what reaches the driver is bounded whatever the texts. Of
+    repeated labels the least counts; of rows that repeat an id, the one with the fewest lines, then the least text hash.
     None if no labelled document, or only one kind of label, is there.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").alias("__label"))
@@ -210,6 +213,20 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DO
     known = known.where(sample_below(known.count(), max_docs, "doc_id"))
     # The sample's bound is its size bound: 16 bytes a row.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct(lines.alias("n"), F.xxhash64(text).alias("h"))).alias("s"))
+    order = F.xxhash64(F.lit("order"), "doc_id")
+    taken, used = [], 0
+    for r in sizes.select("doc_id", "s.n", "s.h").orderBy(order, "doc_id").collect():  # the sample: 24 bytes a document
+        if used + r.n <= max_lines:
+            taken.append((r.doc_id, r.h))
+            used += r.n
+    if not taken:
+        return None
+    chosen = docs.sparkSession.createDataFrame(taken, sizes.select("doc_id", F.col("s.h").alias("__h")).schema)
+    rows = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64(text) == F.col("__h")).drop("__h")
+    rows = rows.dropDuplicates(["doc_id"])
     schema = "label long, counts long, size array<double>, features array<float>"
 
     def prepare(batches):
