@@ -92,6 +92,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Dat
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
+def join_known(rows: DataFrame, groups: DataFrame, key: str, total: int, row_bytes: int) -> DataFrame:
+    """As join_groups, but with all groups broadcast if their counted rows fit the bound."""
+    if fits(groups.count(), row_bytes):
+        return rows.join(F.broadcast(groups.drop("__n")), key)
+    return join_groups(rows, groups, key, total)
+
+
 def bit_filter(keys: DataFrame, n: int, bits_per_key: int = 16) -> tuple[DataFrame, int]:
     """A Bloom filter of ``keys(h long)``: (__block, __words), blocks of 512 words of 64 bits, and the number of blocks.
 
