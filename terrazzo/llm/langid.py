@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, sample_below, struct_of, table, texts_of
@@ -16,6 +16,8 @@ ORDER = 3
 PAD = b"\n" * ORDER
 #: The models learn from about so many whole documents of each language, chosen by a hash of their id.
 DOCS_PER_LANG = 1500
+#: The models hold so many different grams of four bytes together, the most frequent of each language.
+MAX_GRAMS = 1 << 22
 WINDOW = 1 << 20
 
 
@@ -52,75 +54,67 @@ class GramTable:
 
 
 @dataclass
-class PPM:
-    """Code lengths in bits by language: of each known gram (context and byte), and of escapes from each context.
-
-    A context tree of order 3 down to 0 for each language, with escape method C: after a context seen T times with
-    D different bytes, a byte seen c times costs -log2(c / (T + D)), and any other the escape -log2(D / (T + D)) and
-    then its cost in the next shorter context; at last all 256 bytes cost 8 bits. An unseen context costs nothing.
-    Statistics are frozen, so the code length of a byte depends on it and the three bytes before it alone. ``cost[k]``
-    has a row for each gram of k + 1 bytes seen in any language, ``escape[k]`` one for each context of k bytes.
-    """
+class Tree:
+    """The context tree of one language: by order, the cost of each gram seen (a context and a byte) and the escape of each
+    context, in bits. Only what the language has is held."""
 
-    langs: list[str]
-    cost: list[np.ndarray]
-    escape: list[np.ndarray]
     grams: list[GramTable]
+    cost: list[np.ndarray]
     contexts: list[GramTable]
+    escape: list[np.ndarray]
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PPM:
-        """counts: for each language its different 4-byte grams and their numbers."""
-        langs = sorted(counts)
-        below = np.full((1, len(langs)), 8.0)  # the cost of any byte in the contexts before, by gram
-        below_of = lambda grams: np.zeros(len(grams), np.int64)
-        cost, escape, tables, contexts = [], [], [], []
+    def fit(cls, grams: np.ndarray, n: np.ndarray) -> Tree:
+        """grams: different 4-byte grams; n: their numbers."""
+        tree = cls([], [], [], [])
         for k in range(ORDER + 1):
-            mask = np.uint32((1 << 8 * (k + 1)) - 1) if k < 3 else np.uint32(0xFFFFFFFF)
-            union = np.unique(np.concatenate([np.unique(g & mask) for g, _ in counts.values()]))
+            union, at = np.unique(grams & _last(k + 1), return_inverse=True)
             heads, head_of = np.unique(union >> np.uint32(8), return_inverse=True)
-            c = np.zeros((len(union), len(langs)))
-            for j, lang in enumerate(langs):
-                grams, n = counts[lang]
-                np.add.at(c[:, j], np.searchsorted(union, grams & mask), n)
-            total, distinct = np.zeros((len(heads), len(langs))), np.zeros((len(heads), len(langs)))
-            np.add.at(total, head_of, c)
-            np.add.at(distinct, head_of, c > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                seen = -np.log2(c / (total + distinct)[head_of])
-            shorter = below[below_of(union)]
-            here = np.where(c > 0, seen, out[head_of] + shorter)
-            cost.append(here)
-            escape.append(out)
-            tables.append(GramTable(union))
-            contexts.append(GramTable(heads))
-            keep = np.uint32((1 << 8 * (k + 1)) - 1) if k < 3 else np.uint32(0xFFFFFFFF)
-            below, below_of = here, (lambda grams, u=union, m=keep: np.searchsorted(u, grams & m))
-        return cls(langs, cost, escape, tables, contexts)
+            c = np.bincount(at, n, len(union))
+            total, distinct = np.bincount(head_of, c, len(heads)), np.bincount(head_of, minlength=len(heads))
+            tree.grams.append(GramTable(union))
+            tree.cost.append(-np.log2(c / (total + distinct)[head_of]))
+            tree.contexts.append(GramTable(heads))
+            tree.escape.append(-np.log2(distinct / (total + distinct)))
+        return tree
 
     def code(self, grams: np.ndarray) -> np.ndarray:
-        """(n, languages): the code length of the last byte of each 4-byte gram."""
-        row = self.grams[ORDER].find(grams)
-        bits = self.cost[ORDER][row]
-        look = np.flatnonzero(row < 0)
-        bits[look] = 0
-        for k in range(ORDER, -1, -1):  # k: the order that the bytes in `look` escape from
-            if not len(look):
-                break
-            part = grams[look] if k == ORDER else grams[look] & np.uint32((1 << 8 * (k + 1)) - 1)
+        """The code length of the last byte of each 4-byte gram."""
+        bits, look = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):  # k: bytes of context
+            part = grams[look] & _last(k + 1)
+            row = self.grams[k].find(part)
+            bits[look[row >= 0]] += self.cost[k][row[row >= 0]]
+            look, part = look[row < 0], part[row < 0]
             head = self.contexts[k].find(part >> np.uint32(8))
-            known = head >= 0
-            bits[look[known]] += self.escape[k][head[known]]
-            if k == 0:
-                bits[look] += 8.0
-                break
-            row = self.grams[k - 1].find(part & np.uint32((1 << 8 * k) - 1))
-            hit = row >= 0
-            bits[look[hit]] += self.cost[k - 1][row[hit]]
-            look = look[~hit]
+            bits[look[head >= 0]] += self.escape[k][head[head >= 0]]
+        bits[look] += 8.0
         return bits
 
+
+def _last(n: int) -> np.uint32:
+    """A mask for the last n bytes of a gram."""
+    return np.uint32((1 << 8 * n) - 1)
+
+
+@dataclass
+class PPM:
+    """A context tree of order 3 down to 0 for each language, with escape method C and frozen statistics.
+
+    After a context seen T times with D different bytes, a byte seen c times costs -log2(c / (T + D)), and any other the
+    escape -log2(D / (T + D)) and then its cost in the next shorter context; at last all 256 bytes cost 8 bits. An unseen
+    context costs nothing. As statistics are frozen, the code length of a byte depends on it and the three before it alone.
+    """
+
+    langs: list[str]
+    trees: list[Tree]
+
+    @classmethod
+    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PPM:
+        """counts: for each language its different 4-byte grams and their numbers."""
+        langs = sorted(counts)
+        return cls(langs, [Tree.fit(*counts[lang]) for lang in langs])
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): the code length of each whole text."""
         n = len(texts)
@@ -132,7 +126,7 @@ class PPM:
         for lo in range(0, len(data) - ORDER, WINDOW):  # positions lo + ORDER and on
             hi = min(lo + WINDOW, len(data) - ORDER)
             b = data[lo : hi + ORDER].astype(np.uint32)
-            bits = self.code(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
+            grams, inverse = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_inverse=True)
             first, last = owner_of(lo + ORDER), owner_of(hi + ORDER - 1)
             own = np.arange(max(first, 0), last + 1)
             begin = np.clip(starts[own] - lo - ORDER, 0, hi - lo)
@@ -141,8 +135,9 @@ class PPM:
             own, begin, end = own[full], begin[full], end[full]
             if len(own):
                 cuts = np.stack([begin, end], 1).ravel()
-                bits = np.concatenate([bits, np.zeros((1, bits.shape[1]))])
-                total[own] += np.add.reduceat(bits, cuts, axis=0)[::2]
+                for j, tree in enumerate(self.trees):  # each different gram of the window is looked up once
+                    bits = np.append(tree.code(grams)[inverse], 0.0)
+                    total[own, j] += np.add.reduceat(bits, cuts)[::2]
         return total
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +169,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_language_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> PPM | None:
-    """Learn from text and lang of about ``docs_per_lang`` documents of each language that are not held out."""
+def fit_language_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> PPM | None:
+    """Learn from text and lang of about ``docs_per_lang`` documents of each language that are not held out, and of their
+    grams from the most frequent ones, an equal number of each language and ``max_grams`` at most in all: a bound on what reaches
+    the driver, in the order of 64 MB. None without any document to learn from.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -183,7 +181,9 @@ def fit_language_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> P
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = F.when(F.col("lang") == lang, sample_below(n, docs_per_lang, "doc_id")).otherwise(chosen)
-    found = gram_counts(known.where(chosen)).toArrow()
+    found = gram_counts(known.where(chosen))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= max(1, max_grams // len(sizes))).drop("rank").toArrow()
     counts = {}
     langs = np.array(found.column("lang").to_pylist(), object)
     for lang in sorted(set(langs.tolist())):
