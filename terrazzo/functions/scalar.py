@@ -40,9 +40,24 @@ def lightness_table() -> list[int]:
     return np.floor(f * (1 << GAMMA_BITS) + 0.5).astype(int).tolist()
 
 
+def rgb_to_lab_float(r: str, g: str, b: str) -> tuple[Column, Column, Column]:
+    """CIELAB of 8-bit sRGB in real numbers: L within 0 and 100, a and b around 0."""
+    def level(c: str) -> Column:
+        v = F.col(c) / 255.0
+        return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+
+    def response(v: Column) -> Column:
+        return F.when(v > 0.008856, F.pow(v, F.lit(1.0 / 3.0))).otherwise(7.787 * v + 16.0 / 116.0)
+
+    linear = [level(c) for c in (r, g, b)]
+    x, y, z = (response(sum((F.lit(k / (1 << MATRIX_BITS)) * v for k, v in zip(row[1:], linear[1:], strict=True)), F.lit(row[0] / (1 << MATRIX_BITS)) * linear[0])) for row in XYZ)
+    return 116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)
+
+
 def rgb_to_lab(r: str, g: str, b: str, shift: int = DOUBLING) -> tuple[Column, Column, Column]:
     """Quantised CIELAB of 8-bit sRGB: 2L, 2a + 128 and 2b + 128 (with shift 1), each within 0 and 255."""
-    gamma, response = (F.array(*map(F.lit, t)) for t in (gamma_table(), lightness_table()))
+    # One text literal a table, which the optimiser folds into an array, in the place of thousands of literals.
+    gamma, response = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<int>") for t in (gamma_table(), lightness_table()))
     linear = [F.get(gamma, F.col(c).cast("int")) for c in (r, g, b)]
     f = []
     for row in XYZ:

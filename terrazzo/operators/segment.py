@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrazzo.functions.scalar import clamp, rgb_to_lab
@@ -14,17 +15,24 @@ from terrazzo.plans.lineage import cut, small
 
 CLUSTERS = ("image_id", "number", "y", "x", "c0", "c1", "c2", "num_members", "is_active", "is_updatable")
 COOLDOWN = 2
+#: Different sizes of images that one call takes.
+MAX_SHAPES = 10_000
+#: Images up to so many pixels are segmented by one task each, all iterations at once; larger ones by joins.
+LOCAL_PIXELS = 1 << 22
 #: The order of visits: squares of this much more than two spacings, in four phases like a board's colours.
 MARGIN = 32
 
 
 def frames(pixels: DataFrame, config: SlicConfig) -> DataFrame:
-    """(image_id, h, w, s, coef, table) for each image. Only the distinct sizes reach the driver."""
+    """(image_id, h, w, s, coef, table) for each image. Sizes are told from one pass; only distinct ones reach the driver,
+    and no more than MAX_SHAPES of them."""
     sizes = cut(pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
-    shapes = sizes.select("h", "w").distinct().collect()
+    shapes = sizes.select("h", "w").distinct().limit(MAX_SHAPES + 1).collect()
+    if len(shapes) > MAX_SHAPES:
+        raise ValueError(f"images have more than {MAX_SHAPES} different sizes; segment them in groups")
     rows = [(r.h, r.w, s := config.spacing(r.h, r.w), config.spatial_coefficient(s), config.spatial_table(s)) for r in shapes]
     known = pixels.sparkSession.createDataFrame(rows, "h int, w int, s int, coef double, table array<int>")
-    return sizes.join(F.broadcast(known), ["h", "w"]).select("image_id", "h", "w", "s", "coef", "table")
+    return sizes.join(small(known, 1 << 13, len(rows)), ["h", "w"]).select("image_id", "h", "w", "s", "coef", "table")
 
 
 def to_lab(pixels: DataFrame) -> DataFrame:
@@ -33,42 +41,42 @@ def to_lab(pixels: DataFrame) -> DataFrame:
 
 
 def grid_centres(h: int, w: int, k: int) -> list[tuple[int, int]]:
-    """Centres of k cells in about sqrt(k) rows; what doesn't divide evenly goes to every other row, even ones first."""
-    rows = int(k**0.5)
-    per_row = [k // rows] * rows
-    left, row = k % rows, 0
-    while left:
-        per_row[row] += 1
-        left -= 1
-        row += 2
-        if row >= rows:
-            row = 1 % rows
+    """Centres of k cells in isqrt(k) rows of about k / isqrt(k) each.
+
+    What doesn't divide evenly goes to one row each, even rows before odd ones. Cells have the rounded-up size; those that
+    would begin outside are replaced by the image's centre.
+    """
+    rows = math.isqrt(k)
+    evens = -(-rows // 2)
+    counts = [k // rows + ((r // 2 + (evens if r % 2 else 0)) < k % rows) for r in range(rows)]
     height = -(-h // rows)
-    centres = []
-    for i in range(0, h, height):
-        n = per_row[min(i // height, rows - 1)]
-        width = -(-w // n)
-        for j in range(0, w, width):
-            if len(centres) < k:
-                centres.append((min(max(i + height // 2, 0), h - 1), min(max(j + width // 2, 0), w - 1)))
-    return centres + [(h // 2, w // 2)] * (k - len(centres))
-
-
-def sample_colour(clusters: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Clusters with the colour of the pixel that each stands on."""
-    at = clusters.drop("c0", "c1", "c2").withColumns({"py": F.col("y").cast("int"), "px": F.col("x").cast("int")})
+    widths = [-(-w // n) for n in counts]
+    tops = range(0, h, height)
+    inside = [(min(top + height // 2, h - 1), min(left + width // 2, w - 1)) for top, width in zip(tops, widths, strict=False) for left in range(0, w, width)]
+    return (inside + [(h // 2, w // 2)] * k)[:k]
+
+
+def sample_colour(clusters: DataFrame, pixels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Clusters, moved to the image's nearest place if they are outside, with the colour of the pixel that each then stands on."""
+    placed = clusters.drop("c0", "c1", "c2").join(small(grid.select("image_id", "h", "w"), 32), "image_id")
+    placed = placed.withColumns({"y": clamp(F.col("y"), 0.0, F.col("h") - 1), "x": clamp(F.col("x"), 0.0, F.col("w") - 1)})
+    at = cut(placed.drop("h", "w").withColumns({"py": F.col("y").cast("int"), "px": F.col("x").cast("int")}))
     colours = pixels.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), *(F.col(f"c{k}").cast("double").alias(f"c{k}") for k in range(3)))
-    return small(cut(at), 96).join(colours, ["image_id", "py", "px"]).select(*CLUSTERS)
+    found = at.select("image_id", "py", "px").distinct()
+    found = colours.join(small(found, 48), ["image_id", "py", "px"], "left_semi")
+    # A pixel that the table lacks is black.
+    out = at.join(found, ["image_id", "py", "px"], "left").withColumns({f"c{k}": F.coalesce(f"c{k}", F.lit(0.0)) for k in range(3)})
+    return out.select(*CLUSTERS)
 
 
 def initialize(pixels: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """k clusters an image, on a regular grid, with the colours found there."""
     shapes = grid.select("h", "w").distinct().collect()
-    rows = [(r.h, r.w, n, float(y), float(x)) for r in shapes for n, (y, x) in enumerate(grid_centres(r.h, r.w, k))]
-    seeds = pixels.sparkSession.createDataFrame(rows, "h int, w int, number int, y double, x double")
-    each = grid.select("image_id", "h", "w").join(F.broadcast(seeds), ["h", "w"]).drop("h", "w")
+    rows = [(r.h, r.w, [(n, float(y), float(x)) for n, (y, x) in enumerate(grid_centres(r.h, r.w, k))]) for r in shapes]
+    seeds = pixels.sparkSession.createDataFrame(rows, "h int, w int, seeds array<struct<number: int, y: double, x: double>>")
+    each = grid.select("image_id", "h", "w").join(small(seeds, 24 * k, len(rows)), ["h", "w"]).select("image_id", F.inline("seeds"))
     fixed = {"c0": F.lit(0.0), "c1": F.lit(0.0), "c2": F.lit(0.0), "num_members": F.lit(0).cast("long"), "is_active": F.lit(True), "is_updatable": F.lit(COOLDOWN)}
-    return sample_colour(each.withColumns(fixed), pixels)
+    return sample_colour(each.withColumns(fixed), pixels, grid)
 
 
 def prepare(pixels: DataFrame, grid: DataFrame) -> DataFrame:
@@ -137,7 +145,9 @@ def assign(prepared: DataFrame, clusters: DataFrame, grid: DataFrame, config: Sl
         return F.struct(measure(c).alias("d"), (2 * (c["ty"] % 2) + c["tx"] % 2).alias("phase"), c["ty"].alias("ty"), c["tx"].alias("tx"), c["number"].alias("number"))
 
     best = F.array_min(F.filter(F.transform(F.filter("near", inside), rank), lambda r: ~F.isnan(r["d"])))
-    return joined.select(*prepared.columns, best["number"].alias("label"), best["d"].alias("dist"))
+    # Behind a generator the dear step is computed once, however often its result is read or filtered by.
+    once = joined.select(*prepared.columns, F.explode_outer(F.array(best)).alias("best"))
+    return once.select(*prepared.columns, F.col("best.number").alias("label"), F.col("best.d").alias("dist"))
 
 
 def awake_rows(assigned: DataFrame, clusters: DataFrame, grid: DataFrame) -> DataFrame:
@@ -196,9 +206,24 @@ class Slic:
         self.snapshots: list[tuple[int, DataFrame, DataFrame]] = []
 
     def set_clusters(self, clusters: DataFrame) -> None:
-        """Replace the clusters: colours and places as whole numbers, numbered as given, all active."""
+        """Replace the clusters: colours and places as whole numbers, numbered anew from 0 in their given order, all active.
+
+        The number of components becomes that of the clusters given, the same for every image.
+        """
+        counts = clusters.groupBy("image_id").count().agg(F.min("count"), F.max("count")).first()
+        if counts[0] is None or counts[0] != counts[1]:
+            raise ValueError("every image must have the same number of clusters, and one at least")
+        self.config = self.config.copy(num_components=counts[1])
         whole = {f: F.floor(F.col(f)).cast("double") for f in ("y", "x", "c0", "c1", "c2")}
-        self.clusters = clusters.withColumns({**whole, "is_active": F.lit(True), "is_updatable": F.lit(COOLDOWN)}).select(*CLUSTERS)
+        anew = (F.row_number().over(Window.partitionBy("image_id").orderBy("number")) - 1).alias("number")
+        fixed = {**whole, "is_active": F.lit(True), "is_updatable": F.lit(COOLDOWN)}
+        self.clusters = cut(clusters.withColumns({**fixed, "number": anew}).select(*CLUSTERS))
+
+    def get_clusters(self) -> DataFrame:
+        """(image_id, number, yx, color, num_members), as whole numbers."""
+        whole = {f: F.col(f).cast("int") for f in ("y", "x", "c0", "c1", "c2")}
+        c = self.clusters.withColumns(whole)
+        return c.select("image_id", "number", F.array("y", "x").alias("yx"), F.array("c0", "c1", "c2").alias("color"), "num_members")
 
     def to_yxmrgb(self) -> DataFrame:
         return self.clusters.select("image_id", "number", *(F.col(f).cast("int").alias(f) for f in ("y", "x", "num_members", "c0", "c1", "c2")))
@@ -208,41 +233,81 @@ class Slic:
         self.last_timing_report.append((name, round((now - began) * 1e6)))
         return now
 
-    def recorder_report(self) -> Iterator[tuple[int, DataFrame]]:
-        """For each recorded iteration its clusters as JSON rows (debug_mode only)."""
-        for number, clusters, _ in self.snapshots:
-            yield number, clusters.select(F.to_json(F.struct(*CLUSTERS)).alias("json"))
+    def recorder_report(self) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+        """For each recorded iteration, -1 being the beginning, its clusters and its pixels with label and distance, as
+        JSON rows (debug_mode only)."""
+        for number, clusters, assigned in self.snapshots:
+            pixels = assigned.select(F.to_json(F.struct("image_id", "y", "x", "label", "dist")).alias("json"))
+            yield number, clusters.select(F.to_json(F.struct(*CLUSTERS)).alias("json")), pixels
 
     def iterate(self, pixels: DataFrame, max_iter: int = 10, enforce: bool = True) -> DataFrame:
         """(image_id, y, x, label) of every pixel.
 
         Each iteration assigns and updates on every ``subsample_stride``-th row, in turn; at last all clusters are
-        active again and all rows are assigned. A pixel that no window reaches keeps its former label. Clusters are
-        checkpointed each time, labels only where they may be needed again.
+        active again and all rows are assigned. A pixel that no window reaches keeps its former label. Images of
+        LOCAL_PIXELS at most are segmented by one task each (see ``local``); of larger ones, and in debug_mode, each
+        iteration is a join and an aggregation. Clusters of images that are not in this frame stay as they are.
         """
         from terrazzo.operators.components import enforce_connectivity
+        from terrazzo.operators.local import segment_local, split_local
 
         config, began = self.config, time.perf_counter()
         self.last_timing_report, self.snapshots = [], []
         pixels = pixels.select("image_id", "y", "x", "c0", "c1", "c2")
+        colours = to_lab(pixels) if config.convert_to_lab else pixels
         grid = cut(frames(pixels, config))
-        if self.clusters is None:
-            self.clusters = initialize(pixels, grid, config.num_components)
-        image = cut(prepare(to_lab(pixels) if config.convert_to_lab else pixels, grid))
-        clusters = cut(sample_colour(self.clusters.withColumns({"is_active": F.lit(True), "is_updatable": F.lit(COOLDOWN)}), image))
+        large = cut(grid.where(F.col("h").cast("long") * F.col("w") > (0 if config.debug_mode else LOCAL_PIXELS)))
+        n_large, n_all = large.count(), grid.count()
+        began = self._timed("prepare", began)
+        done = []
+        if n_large < n_all:
+            own = colours.join(small(large.select("image_id"), 16, n_large), "image_id", "left_anti") if n_large else colours
+            done.append(split_local(cut(segment_local(own, self.clusters, config, max_iter))))
+            began = self._timed("local", began)
+        if n_large:
+            ids = small(large.select("image_id"), 16, n_large)
+            done.append(self._iterate_joined(colours.join(ids, "image_id", "left_semi"), large, max_iter))
+            began = time.perf_counter()
+        full, clusters = done[0] if len(done) == 1 else (done[0][0].unionByName(done[1][0]), done[0][1].unionByName(done[1][1]))
+        if self.clusters is not None:
+            rest = self.clusters.join(small(grid.select("image_id"), 16, n_all), "image_id", "left_anti")
+            clusters = cut(clusters.unionByName(rest.select(*CLUSTERS)))
+        self.clusters = clusters
+        if enforce:
+            limit = grid.select("image_id", F.lit(config.num_components).alias("k"), F.floor(F.col("s") * F.col("s") * F.lit(config.min_size_factor) + 0.5).cast("long").alias("least"))
+            full = enforce_connectivity(full, limits=limit)
+        self.last_assignment = full
+        self._timed("finish", began)
+        return full
+
+    def _iterate_joined(self, pixels: DataFrame, grid: DataFrame, max_iter: int) -> tuple[DataFrame, DataFrame]:
+        """Labels and clusters by joins of pixels and clusters. Both are written in each iteration, the labels of the
+        iteration's rows once, so that none is computed twice and each may be needed again when no window reaches a pixel."""
+        config, began, stride = self.config, time.perf_counter(), self.config.subsample_stride
+        image = cut(prepare(pixels, grid))
+        fresh = grid
+        known = None
+        if self.clusters is not None:
+            known = self.clusters.join(small(grid.select("image_id"), 16), "image_id", "left_semi")
+            fresh = cut(grid.join(known.select("image_id").distinct(), "image_id", "left_anti"))
+        clusters = initialize(image, fresh, config.num_components)
+        clusters = clusters if known is None else clusters.unionByName(known.select(*CLUSTERS))
+        clusters = cut(sample_colour(clusters.withColumns({"is_active": F.lit(True), "is_updatable": F.lit(COOLDOWN)}), image, grid))
+        if config.debug_mode:
+            nothing = image.select("image_id", "y", "x", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("dist"))
+            self.snapshots.append((-1, clusters, nothing))
         field = None
         if config.variant == "lsc":
             from terrazzo.operators.lsc import FeatureField
 
             field = FeatureField(image, grid, config)
             image, clusters = field.image, field.seed(clusters)
-        began = self._timed("prepare", began)
-        labels = None
+        labels: dict[int, DataFrame] = {}
         for number in range(max_iter):
-            rem = number % config.subsample_stride
-            rows = image.where(F.col("y") % config.subsample_stride == rem)
-            done = field.assign(rows, clusters) if field else assign(rows, clusters, grid, config)
-            done = self._stale(done, labels)
+            rem = number % stride
+            rows = image.where(F.col("y") % stride == rem)
+            done = cut(field.assign(rows, clusters) if field else assign(rows, clusters, grid, config))
+            done = labels[rem] = self._stale(done, labels.get(rem))
             before = clusters
             # The first iteration begins with all clusters active, so that nothing is left out.
             counted = awake_rows(done, clusters, grid) if config.preemptive and number else done
@@ -250,31 +315,21 @@ class Slic:
             if config.preemptive:
                 settled = settle(clusters.select(*CLUSTERS), before.select(*CLUSTERS), grid, config)
                 clusters = cut(settled if field is None else settled.join(clusters.select("image_id", "number", "features"), ["image_id", "number"]))
-                labels = self._merge(labels, done)
             if config.debug_mode:
                 self.snapshots.append((number, clusters, done))
             began = self._timed(f"iteration {number}", began)
         awake = clusters.withColumn("is_active", F.lit(True))
-        full = field.assign(image, awake) if field else assign(image, awake, grid, config)
-        full = cut(self._stale(full, labels).select("image_id", "y", "x", "label"))
-        self.clusters = clusters.select(*CLUSTERS)
-        if enforce:
-            limit = grid.select("image_id", F.lit(config.num_components).alias("k"), F.floor(F.col("s") * F.col("s") * F.lit(config.min_size_factor) + 0.5).cast("long").alias("least"))
-            full = enforce_connectivity(full, limits=limit)
-        self.last_assignment = full
-        self._timed("finish", began)
-        return full
+        full = cut(field.assign(image, awake) if field else assign(image, awake, grid, config))
+        former = None
+        for some in labels.values():  # rows of different remainders
+            some = some.select("image_id", "y", "x", "label")
+            former = some if former is None else former.unionByName(some)
+        return self._stale(full, former).select("image_id", "y", "x", "label"), awake.select(*CLUSTERS)
 
     @staticmethod
     def _stale(done: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
+        """Written rows, with the former label where none was found; joined only if there is such a pixel."""
+        if labels is None or done.where("label is null").isEmpty():
             return done
-        old = labels.select("image_id", "y", "x", F.col("label").alias("old"))
-        return done.join(old, ["image_id", "y", "x"], "left").withColumn("label", F.coalesce("label", "old")).drop("old")
-
-    @staticmethod
-    def _merge(labels: DataFrame | None, done: DataFrame) -> DataFrame:
-        new = done.select("image_id", "y", "x", "label")
-        if labels is None:
-            return cut(new)
-        return cut(labels.join(new, ["image_id", "y", "x"], "left_anti").unionByName(new))
+        old = labels.where("label is not null").select("image_id", "y", "x", F.col("label").alias("old"))
+        return cut(done.join(old, ["image_id", "y", "x"], "left").withColumn("label", F.coalesce("label", "old")).drop("old"))

@@ -37,10 +37,11 @@ def from_binary(images: DataFrame) -> DataFrame:
     )
 
 
-def number(df: DataFrame, order: list[Column | str], name: str = "i") -> DataFrame:
+def number(df: DataFrame, order: list[Column | str], name: str = "i", keep: list[str] | None = None) -> DataFrame:
     """Rows numbered from 0 in a total order, without gathering them in one task: ranges are sorted each for itself,
-    and each range's numbers begin after the counts of the ranges before it."""
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    and each range's numbers begin after the counts of the ranges before it. Only columns to ``keep`` are written."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = cut(ranged.select(*(df.columns if keep is None else keep), "__at"))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).collect()  # a row for each partition
     base, total = {}, 0
@@ -55,7 +56,7 @@ def number(df: DataFrame, order: list[Column | str], name: str = "i") -> DataFra
 
 def lineitem_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels derived from lineitem in a total order: images of 60 by 100."""
-    i = number(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER), list(ORDER))
+    i = number(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER), list(ORDER), keep=["l_quantity", "l_extendedprice", "l_discount"])
     size = HEIGHT * WIDTH
     out = i.selectExpr(
         f"int(i div {size}) image_id", f"int((i % {size}) div {WIDTH}) y", f"int(i % {WIDTH}) x", "int(l_quantity) q", "bigint(l_extendedprice) e", "l_discount"
