@@ -126,8 +126,15 @@ class SimpleCRF:
         self.times.append(time)
         return time
 
-    def push_slic_frame(self, clusters: DataFrame, edges: DataFrame) -> int:
-        """Add one image's clusters (whole numbers) and its adjacency or nearest-neighbour edges."""
+    def push_slic_frame(self, clusters: DataFrame, edges: DataFrame, image_id: int | None = None) -> int:
+        """Add one image's clusters (whole numbers) and its adjacency or nearest-neighbour edges.
+
+        Of tables with several images ``image_id`` names the one; without it there may be one only.
+        """
+        if image_id is not None:
+            clusters, edges = clusters.where(F.col("image_id") == image_id), edges.where(F.col("image_id") == image_id)
+        elif clusters.select("image_id").distinct().limit(2).count() > 1:
+            raise ValueError("clusters of several images: name the image of this frame")
         nodes = clusters.select(F.col("number").alias("node"), *(F.floor(c).alias(c) for c in ("y", "x", "num_members", "c0", "c1", "c2")))
         return self.push_frame(nodes, edges.select("src", "dst"))
 
@@ -144,10 +151,50 @@ class SimpleCRF:
             raise IndexError(time)
         return {name: getattr(self, name).where(F.col("time") == time) for name in ("nodes", "edges", "unary", "q")}
 
-    def set_unary(self, time: int, unary: DataFrame) -> None:
+    def _replace(self, name: str, time: int, new: DataFrame) -> None:
+        """Give a frame other rows of one of its tables."""
+        old = getattr(self, name)
         self.get_frame(time)
-        new = unary.withColumn("time", F.lit(time)).select("time", "cls", "node", "u")
-        self.unary = self.unary.where(F.col("time") != time).unionByName(new)
+        rows = new.withColumn("time", F.lit(time)).select(*(F.col(f.name).cast(f.dataType) for f in old.schema))
+        setattr(self, name, old.where(F.col("time") != time).unionByName(rows))
+
+    def set_unary(self, time: int, unary: DataFrame) -> None:
+        """Costs (cls, node, u)."""
+        self._replace("unary", time, unary)
+
+    def set_unbiased(self, time: int) -> None:
+        self.set_unary(time, unbiased(self.get_frame(time)["nodes"], self.num_classes))
+
+    def set_mask(self, time: int, classes: DataFrame, confidence: float) -> None:
+        """Costs from the class of each node, (node, cls)."""
+        self.set_unary(time, from_mask(classes.withColumn("time", F.lit(time)), self.num_classes, confidence))
+
+    def set_proba(self, time: int, proba: DataFrame) -> None:
+        """Costs from probabilities (cls, node, p)."""
+        self.set_unary(time, from_proba(proba.withColumn("time", F.lit(time))))
+
+    def set_yxmrgb(self, time: int, nodes: DataFrame) -> None:
+        """Other places, sizes and colours for the frame's nodes: (node, y, x, num_members, c0, c1, c2), as whole numbers."""
+        whole = {c: F.floor(c) for c in ("y", "x", "num_members", "c0", "c1", "c2")}
+        self._replace("nodes", time, nodes.withColumns(whole))
+
+    def get_yxmrgb(self, time: int) -> DataFrame:
+        fields = ("y", "x", "num_members", "c0", "c1", "c2")
+        return self.get_frame(time)["nodes"].select("node", *(F.col(c).cast("int").alias(c) for c in fields))
+
+    def set_connectivity(self, time: int, edges: DataFrame) -> None:
+        """Other edges (src, dst) for the frame; they need not go both ways."""
+        self._replace("edges", time, edges)
+
+    def get_connectivity(self, time: int) -> DataFrame:
+        return self.get_frame(time)["edges"].select("src", "dst")
+
+    def get_inferred(self, time: int) -> DataFrame:
+        """(cls, node, q): 0 before ``initialize``."""
+        return self.get_frame(time)["q"].select("cls", "node", "q")
+
+    def reset_inferred(self, time: int) -> None:
+        self._replace("q", time, reset(self.get_frame(time)["unary"]))
 
     def initialize(self) -> None:
         self.q = reset(self.unary)
