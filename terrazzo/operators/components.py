@@ -42,19 +42,26 @@ def components(assignment: DataFrame) -> DataFrame:
     return runs.join(comp, ["image_id", "pos"])
 
 
-def enforce_connectivity(assignment: DataFrame, min_threshold: int = 0, k: int | None = None, limits: DataFrame | None = None) -> DataFrame:
+def enforce_connectivity(assignment: DataFrame, min_threshold: int = 0, k: int | None = None, limits: DataFrame | None = None, local_pixels: int | None = None) -> DataFrame:
     """(image_id, y, x, label) with one component a label, numbered in raster order.
 
     Components of ``min_threshold`` pixels and more stay, or the k largest of them (ties to the first in raster order; k is the
     greatest label plus one by default). A smaller one takes the label of the component left of its first pixel, above
     it in column 0, and so on until one that stays; the first of an image, if it doesn't stay, takes label 0.
-    ``limits(image_id, k, least)`` gives both bounds by image.
+    ``limits(image_id, k, least)`` gives both bounds by image. Images are whole rectangles. Those of ``local_pixels`` at most
+    are one task's work each (LOCAL_PIXELS by default); if any is larger, all are worked off by joins of their runs.
     """
+    from terrazzo.operators.local import connect_local
+    from terrazzo.operators.segment import LOCAL_PIXELS
+
     width = 1 << 31
-    runs = cut(components(assignment))
+    shapes = assignment.groupBy("image_id").agg((F.coalesce(F.max("label"), F.lit(-1)) + 1).alias("k"), F.count("*").alias("size"))
+    shapes = cut(shapes)
     if limits is None:
-        most = assignment.groupBy("image_id").agg((F.coalesce(F.max("label"), F.lit(-1)) + 1).alias("k"))
-        limits = most.select("image_id", F.lit(k).alias("k") if k is not None else F.col("k"), F.lit(min_threshold).cast("long").alias("least"))
+        limits = shapes.select("image_id", F.lit(k).alias("k") if k is not None else F.col("k"), F.lit(min_threshold).cast("long").alias("least"))
+    if shapes.where(F.col("size") > (LOCAL_PIXELS if local_pixels is None else local_pixels)).isEmpty():
+        return connect_local(assignment, small(cut(limits), 64))
+    runs = cut(components(assignment))
     sizes = runs.groupBy("image_id", "comp").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("area"))
     sizes = sizes.join(small(cut(limits), 64), "image_id")
     kept = sizes.where("area >= least")

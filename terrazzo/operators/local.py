@@ -162,7 +162,62 @@ class Frame:
         self.assign(1, 0)
 
 
-def segment_local(pixels: DataFrame, clusters: DataFrame | None, config: SlicConfig, max_iter: int) -> DataFrame:
+def _merged(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of n numbers that each is joined with over pairs a, b: least numbers spread, with a pointer jump each round."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def connected(label: np.ndarray, least: int, k: int) -> np.ndarray:
+    """``enforce_connectivity`` of one image: components of ``least`` pixels, or the k largest of them, numbered in raster
+    order; the others go to the component left of their first pixel, or above it in column 0."""
+    h, w = label.shape
+    begins = np.ones((h, w), bool)
+    begins[:, 1:] = label[:, 1:] != label[:, :-1]
+    run = (np.cumsum(begins.ravel()) - 1).reshape(h, w)
+    first = np.flatnonzero(begins.ravel())
+    same = label[1:] == label[:-1]
+    pairs = np.unique(np.stack([run[:-1][same], run[1:][same]], 1), axis=0)
+    comp = _merged(pairs[:, 0], pairs[:, 1], len(first))  # of each run, its component's first run
+    area = np.bincount(comp, np.diff(np.append(first, h * w)), len(first))
+    mains = np.flatnonzero(comp == np.arange(len(first)))
+    kept = mains[area[mains] >= least]
+    kept = np.sort(kept[np.lexsort((kept, -area[kept]))[:k]])
+    beside = np.where(first % w > 0, first - 1, first - w)
+    target = np.where(beside >= 0, comp[run.ravel()[np.maximum(beside, 0)]], np.arange(len(first)))
+    target[kept] = kept
+    while True:  # what a component goes to has an earlier first pixel
+        further = target[target]
+        if (further == target).all():
+            break
+        target = further
+    number = np.zeros(len(first), np.int32)  # an image's first component, if dropped, is 0
+    number[kept] = np.arange(len(kept))
+    return number[target[comp]][run]
+
+
+def connect_local(assignment: DataFrame, limits: DataFrame) -> DataFrame:
+    """``enforce_connectivity`` with one task an image, for whole images that fit one; limits(image_id, k, least)."""
+    schema = assignment.select("image_id", "y", "x", F.col("label").cast("int").alias("label")).schema
+
+    def of(image: pa.Table) -> pa.Table:
+        y, x = (image.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        label = np.full((y.max() + 1, x.max() + 1), -1, np.int64)
+        label[y, x] = image.column("label").fill_null(-1).to_numpy()
+        found = connected(label, image.column("least")[0].as_py(), image.column("k")[0].as_py())
+        return image.select(["image_id", "y", "x"]).append_column("label", pa.array(found[y, x], pa.int32()))
+
+    return assignment.select("image_id", "y", "x", "label").join(limits, "image_id").groupBy("image_id").applyInArrow(of, schema)
+
+
+def segment_local(pixels: DataFrame, clusters: DataFrame | None, config: SlicConfig, max_iter: int, enforce: bool) -> DataFrame:
     """(image_id, y, x, label, cluster): rows of pixels with their labels, and rows of clusters. Images without any cluster
     get new ones. Colours are those of ``pixels`` as they are."""
     from terrazzo.operators.segment import grid_centres
@@ -183,9 +238,9 @@ def segment_local(pixels: DataFrame, clusters: DataFrame | None, config: SlicCon
             number, begin = np.arange(len(centres), dtype=np.int32), {"y": centres[:, 0], "x": centres[:, 1], "num_members": np.zeros(len(centres), np.int64)}
         frame.place(begin)
         frame.run(max_iter)
-        label = frame.label[y, x]
+        label = connected(frame.label, config.min_size(frame.s), config.num_components)[y, x] if enforce else frame.label[y, x]
         id_type = image.schema.field("image_id").type
-        found = pa.array(np.where(label >= 0, number[label], 0).astype(np.int32), mask=label < 0)
+        found = pa.array((label if enforce else np.where(label >= 0, number[label], 0)).astype(np.int32), mask=label < 0)
         cluster = pa.StructArray.from_arrays(
             [pa.array(v) for v in (number, frame.y, frame.x, *frame.colour.T.copy(), frame.members.astype(np.int64), frame.left.astype(np.int32))],
             names=["number", "y", "x", *COLOURS, "num_members", "is_updatable"],

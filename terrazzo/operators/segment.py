@@ -262,20 +262,21 @@ class Slic:
         done = []
         if n_large < n_all:
             own = colours.join(small(large.select("image_id"), 16, n_large), "image_id", "left_anti") if n_large else colours
-            done.append(split_local(cut(segment_local(own, self.clusters, config, max_iter))))
+            done.append(split_local(cut(segment_local(own, self.clusters, config, max_iter, enforce))))
             began = self._timed("local", began)
         if n_large:
             ids = small(large.select("image_id"), 16, n_large)
-            done.append(self._iterate_joined(colours.join(ids, "image_id", "left_semi"), large, max_iter))
+            found, moved = self._iterate_joined(colours.join(ids, "image_id", "left_semi"), large, max_iter)
+            if enforce:
+                least = F.floor(F.col("s") * F.col("s") * F.lit(config.min_size_factor) + 0.5).cast("long").alias("least")
+                found = enforce_connectivity(found, limits=large.select("image_id", F.lit(config.num_components).alias("k"), least))
+            done.append((found, moved))
             began = time.perf_counter()
         full, clusters = done[0] if len(done) == 1 else (done[0][0].unionByName(done[1][0]), done[0][1].unionByName(done[1][1]))
         if self.clusters is not None:
             rest = self.clusters.join(small(grid.select("image_id"), 16, n_all), "image_id", "left_anti")
             clusters = cut(clusters.unionByName(rest.select(*CLUSTERS)))
         self.clusters = clusters
-        if enforce:
-            limit = grid.select("image_id", F.lit(config.num_components).alias("k"), F.floor(F.col("s") * F.col("s") * F.lit(config.min_size_factor) + 0.5).cast("long").alias("least"))
-            full = enforce_connectivity(full, limits=limit)
         self.last_assignment = full
         self._timed("finish", began)
         return full
