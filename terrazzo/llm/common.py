@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,18 @@ def tested(rows: DataFrame, h: str, known: tuple[DataFrame, int]) -> DataFrame:
     return met.withColumn("__maybe", F.coalesce(one & two, F.lit(False))).drop("__block", "__words")
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns renamed whose names begin like the marks of this subpackage, and what gives them their names back."""
+    taken, new = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        name = c
+        while name.lower().startswith("__") or name != c and name.lower() in taken:
+            name = f"kept{name}" if name.lower().startswith("__") else f"{name}_"
+        new[c] = name
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in new.items()))
+    return out, lambda df: df.select(*(F.col(f"`{n}`").alias(c) for c, n in new.items()))
+
+
 def text_key() -> Column:
     """A hash of each row's text alone; null counts as empty."""
     return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, bit_filter, checkpoint, fits, join_groups, table, tested, text_key, without
+from .common import SPACE, aside, bit_filter, checkpoint, fits, join_groups, table, tested, text_key, without
 
 #: An overlap counts if, of some run of so many words of the item (all of a shorter item), this share agrees.
 RUN, SHARE = 12, 0.8
@@ -145,11 +145,13 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item, with all columns but a ``__key``. Texts are judged, whatever their ids: a null or
-    repeated id neither saves a row nor takes another text with it, and all rows of a text share its fate."""
-    keyed = docs.withColumn("__key", text_key())
+    """The rows of docs that overlap no item, with all columns, whatever their names. Texts are judged, whatever their ids: a
+    null or repeated id neither saves a row nor takes another text with it, and all rows of a text share its fate. Null and
+    empty texts stay. An empty benchmark leaves all rows."""
+    plain, back = aside(docs)
+    keyed = plain.withColumn("__key", text_key())
     found = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark)
-    return without(keyed, checkpoint(found.select(F.col("doc_id").alias("__key")).distinct()), "__key").drop("__key")
+    return back(without(keyed, checkpoint(found.select(F.col("doc_id").alias("__key")).distinct()), "__key"))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, join_groups, keep_one, row_key, shared_folder, table
+from .common import SPACE, aside, checkpoint, join_groups, keep_one, row_key, shared_folder, table
 
 #: Bits of the filter for each row. A row sets two bits of one 64-bit word; about one unique row in a hundred shares
 #: both with repeated or chance company, is taken for a possible repeat, and found unique by the exact comparison.
@@ -115,11 +115,13 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with all columns. Rows are told apart by id and text, so that null and
-    repeated ids neither hold a copy nor drop another text."""
-    keyed = docs.withColumn("__key", row_key())
+    """One row of each group of equal texts, with all columns, whatever their names. Rows are told apart by id and text, so
+    that null and repeated ids neither hold a copy nor drop another text; of rows that repeat both one stays. Null texts equal empty
+    ones. An empty table stays empty."""
+    plain, back = aside(docs)
+    keyed = plain.withColumn("__key", row_key())
     found = exact_dedup(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    return keep_one(keyed, found.select(F.col("doc_id").alias("__key"), "kept"))
+    return back(keep_one(keyed, found.select(F.col("doc_id").alias("__key"), "kept")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,7 +276,8 @@ def quality_scores(docs: DataFrame, model: LineField | None, threshold: float =
 
 
 def keep_good(docs: DataFrame, model: LineField | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs predicted good, with all columns."""
+    """The rows of docs predicted good, with all columns, whatever their names, each judged by its own text: rows that
+    repeat are judged alike, null texts as empty ones, and without a model all stay."""
     return docs.where(score_column(docs, model) >= threshold)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hinted, join_groups, keep_one, min_label_components, row_key, table, texts_of
+from .common import aside, checkpoint, hinted, join_groups, keep_one, min_label_components, row_key, table, texts_of
 
 #: Fingerprints link at so many differing bits or fewer.
 MAX_BITS = 4
@@ -194,10 +194,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of docs of each component, with all columns: the one with the smallest id (null last), then text hash."""
-    keyed = docs.withColumn("__key", row_key())
+    """One row of docs of each component, with all columns, whatever their names: the one with the smallest id (null last),
+    then text hash. Rows are told apart by id and text, so that another text under the same id stands for itself; of rows that
+    repeat both one stays. Null and wordless texts are one component. An empty table stays empty."""
+    plain, back = aside(docs)
+    keyed = plain.withColumn("__key", row_key())
     found = simhash_components(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    return keep_one(keyed, found.select(F.col("doc_id").alias("__key"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    return back(keep_one(keyed, found.select(F.col("doc_id").alias("__key"), (F.col("doc_id") == F.col("component_id")).alias("kept"))))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
