@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrazzo.llm.common import table
+from terrazzo.llm.common import shared_folder, table
 from terrazzo.llm.decontam import drop_contaminated
 from terrazzo.llm.exact_dedup import drop_exact
 from terrazzo.llm.mixing import mixed
@@ -20,27 +18,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null texts count as empty; without labels of both kinds all stay."""
     return keep_good(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts one stays, whatever the rows' ids; null texts equal empty ones."""
     return drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one stays."""
+    """Of each component of near duplicates one stays, by row and not by id."""
     return drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; an empty benchmark leaves all."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents with the number of times that each occurs."""
+    """The mixture: documents with the number of times that each occurs; null sources and languages count as empty names."""
     return mixed(docs)
 
 
@@ -57,13 +55,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each but the last is written to the shared folder and read again."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "terrazzo-checkpoints")
+    """All stages over documents. Each but the last is written to the shared folder and read again; once a stage is written,
+    what it read is removed, so that one stage's rows are kept at a time."""
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{top}/pipeline-{uuid.uuid4().hex}/{number}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{top}/{number}")
+            docs = spark.read.parquet(f"{top}/{number}")
+            if number:
+                _remove(spark, f"{top}/{number - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
