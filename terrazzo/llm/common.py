@@ -123,7 +123,7 @@ def _block(h: Column, blocks: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 30), F.lit(blocks))
 
 
-def tested(rows: DataFrame, h: str, known: tuple[DataFrame, int]) -> DataFrame:
+def marked(rows: DataFrame, h: str, known: tuple[DataFrame, int]) -> DataFrame:
     """rows with ``__maybe``: whether their hash ``h`` may be among the filter's keys. No row moves; false is certain."""
     blocks, n = known
     met = rows.withColumn("__block", _block(F.col(h), n)).join(F.broadcast(blocks), "__block", "left")
@@ -182,9 +182,9 @@ def _split(docs: DataFrame, keys: DataFrame, key: str, parts: int = 2) -> tuple[
         small = F.broadcast(keys)
         out = docs.join(small, key, "left_anti")
         return (out,) if parts == 1 else (docs.join(small, key, "left_semi"), out)
-    marked = tested(docs.withColumn("__h", F.xxhash64(key)), "__h", bit_filter(keys.select(F.xxhash64(key).alias("h")), n))
-    maybe = marked.where("__maybe").drop("__h", "__maybe")
-    out = marked.where("not __maybe").drop("__h", "__maybe").unionByName(maybe.join(keys, key, "left_anti"))
+    flagged = marked(docs.withColumn("__h", F.xxhash64(key)), "__h", bit_filter(keys.select(F.xxhash64(key).alias("h")), n))
+    maybe = flagged.where("__maybe").drop("__h", "__maybe")
+    out = flagged.where("not __maybe").drop("__h", "__maybe").unionByName(maybe.join(keys, key, "left_anti"))
     return (out,) if parts == 1 else (maybe.join(keys, key, "left_semi"), out)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, aside, bit_filter, checkpoint, fits, join_groups, table, tested, text_key, without
+from .common import SPACE, aside, bit_filter, checkpoint, fits, join_groups, marked, table, text_key, without
 
 #: An overlap counts if, of some run of so many words of the item (all of a shorter item), this share agrees.
 RUN, SHARE = 12, 0.8
@@ -116,13 +116,13 @@ def contaminated(
         hits = laid_at("doc_id", "words").join(F.broadcast(seeds), "seed").select("doc_id", "words", "__item", start)
     else:
         words = words.withColumn("__text", F.xxhash64("hashes"))
-        at = tested(laid_at("doc_id", "__text"), "seed", bit_filter(seeds.select(F.col("seed").alias("h")), n_seeds)).where("__maybe")
+        at = marked(laid_at("doc_id", "__text"), "seed", bit_filter(seeds.select(F.col("seed").alias("h")), n_seeds)).where("__maybe")
         salted = at.withColumn("salt", F.pmod(F.xxhash64("__text", "pos"), F.lit(SALTS)))
         dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         hit = salted.join(dealt, ["seed", "salt"]).select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__of"), "__item", start).distinct()
         hit = checkpoint(hit)
         texts = hit.select(F.col("__of").alias("h")).distinct()
-        moved = tested(words, "__text", bit_filter(texts, texts.count())).where("__maybe")
+        moved = marked(words, "__text", bit_filter(texts, texts.count())).where("__maybe")
         hits = moved.join(hit, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__of"))).select("doc_id", "words", "__item", "start")
     if fits(n_items, 4096):
         laid = hits.join(F.broadcast(items), "__item")
