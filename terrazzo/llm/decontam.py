@@ -93,7 +93,7 @@ def contaminated(
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
     items = checkpoint(items.withColumn("__item", F.monotonically_increasing_id()))
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("item"), F.lit(run))).distinct().collect())  # run at most
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("item"), F.lit(run))).distinct().collect()) or [run]  # run at most
     by_length = {n: masks if n == run else masks_for(n, changes(n, run, share)) for n in lengths}
     all_masks = list(dict.fromkeys(m for given in by_length.values() for m in given))
     hashed = lambda df, words: df.withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
