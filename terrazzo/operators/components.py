@@ -49,7 +49,8 @@ def enforce_connectivity(assignment: DataFrame, min_threshold: int = 0, k: int |
     greatest label plus one by default). A smaller one takes the label of the component left of its first pixel, above
     it in column 0, and so on until one that stays; the first of an image, if it doesn't stay, takes label 0.
     ``limits(image_id, k, least)`` gives both bounds by image. Images are whole rectangles. Those of ``local_pixels`` at most
-    are one task's work each (LOCAL_PIXELS by default); if any is larger, all are worked off by joins of their runs.
+    are one task's work each (LOCAL_PIXELS by default); if any is larger, all are worked off by joins of their runs, where
+    only the components of an image, not its pixels or runs, are ranked and numbered in one task.
     """
     from terrazzo.operators.local import connect_local
     from terrazzo.operators.segment import LOCAL_PIXELS

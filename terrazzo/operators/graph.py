@@ -31,7 +31,8 @@ def adjacency(assignment: DataFrame, max_degree: int | None = MAX_DEGREE) -> Dat
     """(image_id, src, dst, ord), both directions of each pair of touching labels once.
 
     With ``max_degree`` pairs come in the raster order of their first meeting, and one comes in only while both its
-    regions have fewer neighbours; the edges of one image, at most a few for each region, are gone through together.
+    regions have fewer neighbours. That depends on all edges before, so the edges of one image, a few for each region
+    and not for each pixel, are gone through in one task: 65,533 regions, the most that there are, have some 200,000.
     """
     pairs = _touching(assignment).groupBy("image_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     first = pairs.agg(F.min(F.struct("ord", "src", "dst")).alias("f")).select("image_id", "f.src", "f.dst", "f.ord")

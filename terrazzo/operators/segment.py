@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrazzo.functions.scalar import clamp, rgb_to_lab
+from terrazzo.functions.scalar import clamp, rgb_to_lab, round_int
 from terrazzo.plans.config import SlicConfig
 from terrazzo.plans.lineage import cut, small
 
@@ -24,8 +24,8 @@ MARGIN = 32
 
 
 def frames(pixels: DataFrame, config: SlicConfig) -> DataFrame:
-    """(image_id, h, w, s, coef, table) for each image. Sizes are told from one pass; only distinct ones reach the driver,
-    and no more than MAX_SHAPES of them."""
+    """(image_id, h, w, s, coef, table) for each image. Sizes are told from one pass and kept; only distinct ones reach the
+    driver, and no more than MAX_SHAPES of them. Images are whole rectangles."""
     sizes = cut(pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
     shapes = sizes.select("h", "w").distinct().limit(MAX_SHAPES + 1).collect()
     if len(shapes) > MAX_SHAPES:
@@ -62,11 +62,7 @@ def sample_colour(clusters: DataFrame, pixels: DataFrame, grid: DataFrame) -> Da
     placed = placed.withColumns({"y": clamp(F.col("y"), 0.0, F.col("h") - 1), "x": clamp(F.col("x"), 0.0, F.col("w") - 1)})
     at = cut(placed.drop("h", "w").withColumns({"py": F.col("y").cast("int"), "px": F.col("x").cast("int")}))
     colours = pixels.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), *(F.col(f"c{k}").cast("double").alias(f"c{k}") for k in range(3)))
-    found = at.select("image_id", "py", "px").distinct()
-    found = colours.join(small(found, 48), ["image_id", "py", "px"], "left_semi")
-    # A pixel that the table lacks is black.
-    out = at.join(found, ["image_id", "py", "px"], "left").withColumns({f"c{k}": F.coalesce(f"c{k}", F.lit(0.0)) for k in range(3)})
-    return out.select(*CLUSTERS)
+    return colours.join(small(at, 96), ["image_id", "py", "px"]).select(*CLUSTERS)
 
 
 def initialize(pixels: DataFrame, grid: DataFrame, k: int) -> DataFrame:
@@ -169,7 +165,7 @@ def update(assigned: DataFrame, clusters: DataFrame, config: SlicConfig) -> Data
     """
     rows = assigned.where("label is not null")
     sums = rows.groupBy("image_id", F.col("label").alias("number")).agg(F.count("*").alias("n"), *(F.sum(F.col(f).cast("long")).alias(f"s_{f}") for f in ("y", "x", "c0", "c1", "c2")))
-    mean = lambda f: F.expr(f"s_{f} / n") if config.variant == "noq" else F.expr(f"double((s_{f} + (n div 2)) div n)")
+    mean = lambda f: F.expr(f"s_{f} / n") if config.variant == "noq" else round_int(f"s_{f}", "n").cast("double")
     moved = F.col("n").isNotNull() & (F.col("is_updatable") > 0)
     joined = clusters.join(sums, ["image_id", "number"], "left")
     out = joined.withColumns({f: F.when(moved, mean(f)).otherwise(F.col(f)) for f in ("y", "x", "c0", "c1", "c2")})
@@ -255,7 +251,7 @@ class Slic:
         self.last_timing_report, self.snapshots = [], []
         pixels = pixels.select("image_id", "y", "x", "c0", "c1", "c2")
         colours = to_lab(pixels) if config.convert_to_lab else pixels
-        grid = cut(frames(pixels, config))
+        grid = frames(pixels, config)
         large = cut(grid.where(F.col("h").cast("long") * F.col("w") > (0 if config.debug_mode else LOCAL_PIXELS)))
         n_large, n_all = large.count(), grid.count()
         began = self._timed("prepare", began)

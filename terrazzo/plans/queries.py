@@ -35,7 +35,7 @@ S = BASE.spacing(HEIGHT, WIDTH)
 def _start(spark: SparkSession, sf_dir: str, config: SlicConfig = RGB) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     raster = lineitem_raster(spark, sf_dir)
     pixels = raster.drop("mask")
-    grid = cut(frames(pixels, config))
+    grid = frames(pixels, config)
     image = prepare(to_lab(pixels) if config.convert_to_lab else pixels, grid)
     return raster, image, grid, initialize(image, grid, K)
 

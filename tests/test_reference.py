@@ -23,6 +23,14 @@ def test_lab(spark):
     assert [(r.c0, r.c1, r.c2) for r in rows] == list(known.values())
 
 
+def test_whole_number_helpers(spark):
+    from terrazzo.functions.scalar import ceil_int, round_int
+
+    rows = spark.sql("select * from values (7L, 2L), (8L, 2L), (10L, 4L), (9L, 4L), (0L, 3L) as t(n, d)")
+    got = [(r.a, r.b) for r in rows.select(ceil_int("n", "d").alias("a"), round_int("n", "d").alias("b")).collect()]
+    assert got == [(4, 4), (4, 4), (3, 3), (3, 2), (0, 0)]
+
+
 def test_centres():
     assert grid_centres(60, 100, 5) == [(15, 17), (15, 51), (15, 85), (45, 25), (45, 75)]
     assert grid_centres(10, 10, 3) == [(5, 2), (5, 6), (5, 9)]
