@@ -49,6 +49,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows, if it is there, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished rounds have left: the driver's memory, and checkpoints, shuffles and broadcasts that no
     plan refers to any more, which Spark removes only when the driver's garbage has been collected."""

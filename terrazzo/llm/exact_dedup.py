@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, aside, checkpoint, join_groups, keep_one, row_key, shared_folder, table
+from .common import SPACE, aside, checkpoint, join_groups, keep_one, remove_folder, row_key, shared_folder, table
 
 #: Bits of the filter for each row. A row sets two bits of one 64-bit word; about one unique row in a hundred shares
 #: both with repeated or chance company, is taken for a possible repeat, and found unique by the exact comparison.
@@ -50,11 +50,11 @@ def seen_again(hashed: DataFrame) -> DataFrame:
     return words.where(extra > 0).select("word", F.when(extra == F.bit_count(even), even).otherwise(F.col("seen")).alias("again"))
 
 
-def possibly_repeated(rows: DataFrame, words: int) -> DataFrame:
+def possibly_repeated(rows: DataFrame, words: int, folder: str) -> DataFrame:
     """rows(h, ...) with ``maybe``, in the place of h: whether some other row may have the same hash. No row moves.
 
     The second filter is broadcast in parts of bounded size, by ranges of words. With more than one part rows are
-    first written into a folder for each, where they stand, so that each is read and tested once.
+    first written into a subfolder of ``folder`` for each, where they stand, so that each is read and tested once.
     """
     hashed = rows.withColumns({"word": word_of(F.col("h"), words), "bits": bits_of(F.col("h"))})
     again = checkpoint(seen_again(hashed.select("word", "bits")))
@@ -66,9 +66,8 @@ def possibly_repeated(rows: DataFrame, words: int) -> DataFrame:
     if parts == 1:
         return test(hashed, again)
     part = (F.col("word") / F.lit(-(-words // parts))).cast("long").cast("int")
-    path = f"{shared_folder(rows.sparkSession)}/filtered-{uuid.uuid4().hex}"
-    hashed.withColumn("__part", part).write.partitionBy("__part").parquet(path)
-    stored, out = rows.sparkSession.read.parquet(path), None
+    hashed.withColumn("__part", part).write.partitionBy("__part").parquet(folder)
+    stored, out = rows.sparkSession.read.parquet(folder), None
     for k in range(parts):
         one = test(stored.where(F.col("__part") == k).drop("__part"), again.where(part == k))
         out = one if out is None else out.unionByName(one)
@@ -92,7 +91,9 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW) -> DataFrame:
     read.
     """
     rows = checkpoint(digest(docs))
-    tested = checkpoint(possibly_repeated(rows, max(1, rows.count() * bits_per_row // 64)))
+    folder = f"{shared_folder(docs.sparkSession)}/filtered-{uuid.uuid4().hex}"
+    tested = checkpoint(possibly_repeated(rows, max(1, rows.count() * bits_per_row // 64), folder))
+    remove_folder(docs.sparkSession, folder)
     unique = tested.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )

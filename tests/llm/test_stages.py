@@ -70,7 +70,7 @@ def test_groups_and_filters(spark):
     assert told.where("id < 2000 and not __maybe").isEmpty() and told.where("id >= 2000 and __maybe").count() < 2000
 
 
-def test_bloom_words_far_apart(spark):
+def test_bloom_words_far_apart(spark, tmp_path):
     """Words are numbered beyond 2**32, bits set twice are never missed, and rows in parts are told as in one."""
     words = 1 << 40
     h = spark.range(2000).selectExpr("xxhash64(id) h")
@@ -79,19 +79,19 @@ def test_bloom_words_far_apart(spark):
     # Pairs, a text in three rows, and unique rows.
     rows = spark.range(3000).selectExpr("id", "xxhash64(case when id < 1000 then id % 500 when id < 1003 then -1 else id end) h")
     for n, sure in ((50, 0), (words, 1997)):
-        told = exact_dedup.possibly_repeated(rows, n)
+        told = exact_dedup.possibly_repeated(rows, n, str(tmp_path / str(n)))
         assert told.where("id < 1003 and not maybe").isEmpty() and told.where("not maybe").count() >= sure
 
 
-def test_unique_rows_are_not_exchanged(spark, monkeypatch):
+def test_unique_rows_are_not_exchanged(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(exact_dedup, "PART_WORDS", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)], "doc_id long, text string")
-        tests = exact_dedup.possibly_repeated(exact_dedup.checkpoint(exact_dedup.digest(docs)), 100)
+        tests = exact_dedup.possibly_repeated(exact_dedup.checkpoint(exact_dedup.digest(docs)), 100, str(tmp_path / "parts"))
         plan = tests._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert (tmp_path / "parts").exists() and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
         assert tests.where("not maybe").count() > 50 and exact_dedup.exact_dedup(docs).where("kept").count() == 90
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
