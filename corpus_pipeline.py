@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrazzo.llm.common import shared_folder, table
+from terrazzo.llm.common import remove_folder, shared_folder, table
 from terrazzo.llm.decontam import drop_contaminated
 from terrazzo.llm.exact_dedup import drop_exact
 from terrazzo.llm.mixing import mixed
@@ -65,10 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{top}/{number}")
             docs = spark.read.parquet(f"{top}/{number}")
             if number:
-                _remove(spark, f"{top}/{number - 1}")
+                remove_folder(spark, f"{top}/{number - 1}")
     return docs
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
