@@ -108,6 +108,27 @@ def spread(df: DataFrame, tasks: int, emb: Column) -> DataFrame:
     return exploded.select(cell(F.col("__emb"), F.col("__choice")).alias("cell"), *df.columns)
 
 
+def halves(fp: Column) -> list[Column]:
+    """The bit counts of a fingerprint's two halves: its place in a plane, where linked ones are MAX_BITS apart at most."""
+    return [F.bit_count(part).cast("int") for part in (fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))]
+
+
+def range_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(cell, x, a) and right(cell, y, b) that share a cell and are within MAX_BITS of each other by the Manhattan
+    distance of their halves' counts.
+
+    The plane is cut into squares of side MAX_BITS + 1. Each row of the right stands in its own square, each of the left looks
+    into the nine around it, so that every pair within the radius meets once.
+    """
+    side = MAX_BITS + 1
+    placed = right.withColumns({f"v{k}": c for k, c in enumerate(halves(F.col("y")))})
+    placed = placed.withColumns({f"s{k}": F.expr(f"v{k} div {side}") for k in (0, 1)})
+    looking = left.withColumns({f"u{k}": c for k, c in enumerate(halves(F.col("x")))})
+    for k in (0, 1):
+        looking = looking.withColumn(f"s{k}", F.explode(F.expr(f"sequence(u{k} div {side} - 1, u{k} div {side} + 1)")))
+    return looking.join(placed, ["cell", "s0", "s1"]).where(F.abs(F.col("u0") - F.col("v0")) + F.abs(F.col("u1") - F.col("v1")) <= MAX_BITS)
+
+
 def _linked(a: str, b: str) -> Column:
     """The Manhattan bound first, then the exact distance."""
     x, y = F.col(a), F.col(b)
@@ -118,7 +139,7 @@ def mixed_links(members: DataFrame, tasks: int, crowd: int = CROWD) -> DataFrame
     """(a, b): roots of ``members(cell, fp, root)`` that links inside a cell join.
 
     Only fingerprints of different components are of interest: in each cell those outside the commonest component
-    meet the cell's others. Cells of more than ``crowd`` members are cut first: each member goes to the cells of another
+    meet the cell's others, as far as they are within range (see ``range_join``), and are then compared exactly. Cells of more than ``crowd`` members are cut first: each member goes to the cells of another
     grid, over other bits, within its own, where two linked ones still meet for certain, and unrelated ones seldom.
     """
     found = None
@@ -132,7 +153,7 @@ def mixed_links(members: DataFrame, tasks: int, crowd: int = CROWD) -> DataFrame
         small = mixed if last else mixed.where(F.col("size") <= crowd)
         left = small.where("root <> top").select("cell", F.col("fp").alias("x"), F.col("root").alias("a"))
         right = small.select("cell", F.col("fp").alias("y"), F.col("root").alias("b"))
-        more = left.join(right, "cell").where((F.col("a") != F.col("b")) & _linked("x", "y")).select("a", "b")
+        more = range_join(left, right).where((F.col("a") != F.col("b")) & _linked("x", "y")).select("a", "b")
         found = more if found is None else found.union(more)
         if last:
             return found
