@@ -19,8 +19,11 @@ SEED = 42
 #: The 32 two-bit segments form 8 blocks; two linked fingerprints agree in the counts of 4 blocks at least. With more
 #: fingerprints than these, segments have one bit, so that a cell fixes 32 bits in the place of 24.
 WIDE_SEGMENTS = 1 << 26
-#: A cell with more members than these is cut into the cells of another grid, this often at most.
+#: A cell with more members than these outside its commonest component is cut into the cells of another grid, this often at
+#: most; what is crowded even then is linked by FLIPS.
 CROWD, REFINEMENTS = 64, 2
+#: All patterns of MAX_BITS / 2 bits or fewer, as an array in SQL.
+FLIPS = "array_append(flatten(transform(sequence(0, 63), i -> transform(sequence(i, 63), j -> shiftleft(1L, i) | shiftleft(1L, j)))), 0L)"
 BLOCKS = 8
 LOW_BITS = 0x5555555555555555
 #: Each choice of 4 blocks: its number from bit 32 on, and below, a byte for each chosen block's place in the fingerprint.
@@ -135,28 +138,48 @@ def _linked(a: str, b: str) -> Column:
     return (F.bit_count(embedding(x).bitwiseXOR(embedding(y))) <= MAX_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
 
 
+def star_links(members: DataFrame) -> DataFrame:
+    """(a, b): each of ``members(cell, fp, low, high)`` with its cell's least and greatest fingerprint, where it links to them."""
+    ends = members.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    return ends.where((F.col("a") != F.col("b")) & _linked("a", "b"))
+
+
+def point_links(members: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): roots that links among distinct ``members(fp, root)`` join, exact however near they all are.
+
+    Two fingerprints link if and only if some point is MAX_BITS / 2 bits or fewer from both. Each member stands at its 2,081
+    points, and at each point every root is joined to the least, so that rows grow with the members and not with their pairs.
+    """
+    around = members.repartition(tasks).select("root", "fp", F.explode(F.expr(FLIPS)).alias("flip"))
+    points = around.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "root").distinct()
+    least = points.groupBy("point").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b < most")
+    return points.join(least, "point").where("root <> b").select(F.col("root").alias("a"), "b").distinct()
+
+
 def mixed_links(members: DataFrame, tasks: int, crowd: int = CROWD) -> DataFrame:
     """(a, b): roots of ``members(cell, fp, root)`` that links inside a cell join.
 
     Only fingerprints of different components are of interest: in each cell those outside the commonest component
-    meet the cell's others, as far as they are within range (see ``range_join``), and are then compared exactly. Cells of more than ``crowd`` members are cut first: each member goes to the cells of another
-    grid, over other bits, within its own, where two linked ones still meet for certain, and unrelated ones seldom.
+    meet the cell's others, as far as they are within range (see ``range_join``), and are then compared exactly. With
+    more than ``crowd`` of them a cell is cut first: each member goes to the cells of another
+    grid, over other bits, within its own, where two linked ones still meet for certain, and unrelated ones seldom. Cells
+    crowded to the last go by ``point_links``. So no member meets more than ``crowd`` others in a cell.
     """
     found = None
     for level in range(REFINEMENTS + 1):
         by_root = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
         cells = by_root.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("__n"))
-        cells = checkpoint(cells.where("roots > 1").select("cell", F.col("top.root").alias("top"), F.col("__n").alias("size"), "__n"))
-        mixed = checkpoint(join_groups(members, cells, "cell", members.count()))
-        big = mixed.where(F.col("size") > crowd).select("cell", "fp", "root")
-        last = level == REFINEMENTS or big.isEmpty()
-        small = mixed if last else mixed.where(F.col("size") <= crowd)
+        cells = cells.where("roots > 1").select("cell", F.col("top.root").alias("top"), (F.col("__n") - F.col("top.n")).alias("others"), "__n")
+        mixed = checkpoint(join_groups(members, checkpoint(cells), "cell", members.count()))
+        small, big = mixed.where(F.col("others") <= crowd), mixed.where(F.col("others") > crowd).select("cell", "fp", "root")
         left = small.where("root <> top").select("cell", F.col("fp").alias("x"), F.col("root").alias("a"))
         right = small.select("cell", F.col("fp").alias("y"), F.col("root").alias("b"))
         more = range_join(left, right).where((F.col("a") != F.col("b")) & _linked("x", "y")).select("a", "b")
         found = more if found is None else found.union(more)
-        if last:
+        if big.isEmpty():
             return found
+        if level == REFINEMENTS:
+            return found.union(point_links(big.select("fp", "root").distinct(), tasks))
         emb = transposed(F.col("fp")) if level == 0 else rotated(F.col("fp"))
         inner = spread(big.withColumnRenamed("cell", "outer"), tasks, emb)
         members = checkpoint(inner.select(F.xxhash64("outer", "cell").alias("cell"), "fp", "root"))
@@ -170,7 +193,9 @@ def link_fingerprints(distinct: DataFrame, wide_segments: int = WIDE_SEGMENTS, c
 
     1. Each cell is reduced to its count and its least and greatest fingerprint, with partial aggregation. The two
        link if they are close enough. A cell of two is then done with.
-    2. The components of those links are found. In cells of three and more, what is left between different components
+    2. In cells of three and more, each member is compared with these two as well, which joins most of a large group at a cost
+       that grows with its members.
+    3. The components of those links are found. In cells of three and more, what is left between different components
        is verified (see ``mixed_links``), and the components are joined by what is found.
     """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -182,12 +207,13 @@ def link_fingerprints(distinct: DataFrame, wide_segments: int = WIDE_SEGMENTS, c
         .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("n > 1")
     )
-    first = min_label_components(reduced.where(_linked("a", "b")).select("a", "b"))
+    crowded = checkpoint(reduced.where("n > 2").select("cell", F.col("a").alias("low"), F.col("b").alias("high")))
+    held = checkpoint(spread(distinct, tasks, emb).join(hinted(crowded, 80), "cell"))
+    first = min_label_components(reduced.where(_linked("a", "b")).select("a", "b").union(star_links(held)))
     named = checkpoint(
         distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     )
-    crowded = checkpoint(reduced.where("n > 2").select("cell"))
-    members = checkpoint(spread(named, tasks, emb).join(hinted(crowded, 64), "cell", "left_semi"))
+    members = checkpoint(held.select("cell", "fp").join(named, "fp"))
     second = min_label_components(mixed_links(members, tasks, crowd)).select(F.col("node").alias("root"), F.col("root").alias("final"))
     roots = named.groupBy("root").agg(F.count("*").alias("__n")).join(second, "root", "left")
     roots = checkpoint(roots.select("root", F.coalesce("final", "root").alias("final"), "__n"))
