@@ -90,8 +90,17 @@ def enforce_connectivity(assignment: DataFrame, min_threshold: int = 0, k: int |
     return named.select("image_id", "y", F.explode(F.sequence("lo", "hi")).alias("x"), F.col("out").cast("int").alias("label"))
 
 
-def component_areas(assignment: DataFrame) -> DataFrame:
-    """(image_id, leader_y, leader_x, label, area) of each component."""
+def component_areas(assignment: DataFrame, local: bool | None = None) -> DataFrame:
+    """(image_id, leader_y, leader_x, label, area) of each component.
+
+    Images that fit one task (LOCAL_PIXELS) are one task's work each; if any is larger, all are worked off by joins of their
+    runs. ``local`` says which, if the caller knows; else the images' pixels are counted.
+    """
+    from terrazzo.operators.local import areas_local
+    from terrazzo.operators.segment import fit_tasks
+
+    if fit_tasks(assignment) if local is None else local:
+        return areas_local(assignment)
     width = 1 << 31
     found = components(assignment).groupBy("image_id", "comp").agg(F.first("label").alias("label"), F.sum(F.col("hi") - F.col("lo") + 1).alias("area"))
     return found.selectExpr("image_id", f"int(comp div {width}) leader_y", f"int(comp % {width}) leader_x", "nullif(label, -1) label", "area")

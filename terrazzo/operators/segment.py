@@ -35,6 +35,16 @@ def frames(pixels: DataFrame, config: SlicConfig) -> DataFrame:
     return sizes.join(small(known, 1 << 13, len(rows)), ["h", "w"]).select("image_id", "h", "w", "s", "coef", "table")
 
 
+def fit_tasks(pixels: DataFrame) -> bool:
+    """Whether each image has LOCAL_PIXELS at most; their pixels are counted."""
+    return pixels.groupBy("image_id").count().where(F.col("count") > LOCAL_PIXELS).isEmpty()
+
+
+def grid_fits(grid: DataFrame) -> bool:
+    """The same by the sizes of ``frames``."""
+    return grid.where(F.col("h").cast("long") * F.col("w") > LOCAL_PIXELS).isEmpty()
+
+
 def to_lab(pixels: DataFrame) -> DataFrame:
     lab = rgb_to_lab("c0", "c1", "c2")
     return pixels.withColumns({f"c{k}": c for k, c in enumerate(lab)})

@@ -11,8 +11,9 @@ from terrazzo.functions.scalar import XYZ, gamma_table, lightness_table, rgb_to_
 from terrazzo.operators import crf
 from terrazzo.operators.components import component_areas, enforce_connectivity
 from terrazzo.operators.graph import adjacency, as_lists, broadcast_density, mask_density, nearest
+from terrazzo.operators.local import split_local, step_local
 from terrazzo.operators.lsc import FeatureField, features
-from terrazzo.operators.segment import Slic, assign, awake_rows, frames, grid_centres, initialize, prepare, sample_colour, settle, to_lab, update
+from terrazzo.operators.segment import Slic, assign, awake_rows, frames, grid_centres, grid_fits, initialize, prepare, sample_colour, settle, to_lab, update
 from terrazzo.plans.config import SlicConfig
 from terrazzo.plans.iterated import Iterated
 from terrazzo.plans.lineage import cut
@@ -64,14 +65,50 @@ def _assign_once(variant: str, **more) -> Callable[[SparkSession, str], DataFram
     return query
 
 
+def _first(spark: SparkSession, sf_dir: str, config: SlicConfig = RGB, until: str = "update", give: tuple[str, ...] = ("labels", "clusters")) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None, bool]:
+    """The raster, the pixels' labels, the grid and the clusters after the first steps (see ``step_local``), and whether
+    images are one task's work each. Of labels and clusters only those to ``give`` are there; clusters are written, and
+    labels too if both are given."""
+    raster = lineitem_raster(spark, sf_dir)
+    pixels = raster.drop("mask")
+    grid = frames(pixels, config)
+    local = grid_fits(grid)
+    if local:
+        found = step_local(pixels, config, until, give)
+        labels, clusters = split_local(cut(found) if "clusters" in give else found, ("features",) if config.variant == "lsc" else ())
+        return raster, labels if "labels" in give else None, grid, clusters if "clusters" in give else None, True
+    image = prepare(pixels, grid)
+    clusters = cut(initialize(image, grid, K))
+    field = None
+    if config.variant == "lsc":
+        field = FeatureField(image, grid, config)
+        clusters = field.seed(clusters)
+    if until == "seed":
+        return raster, None, grid, clusters, False
+    done = field.assign(field.image, clusters) if field else assign(image, clusters, grid, config)
+    if until == "update":
+        done = cut(done)
+        clusters = cut(field.update(done, clusters) if field else update(done, clusters, config))
+    return raster, _labels(done), grid, clusters, False
+
+
 def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    raster, image, grid, clusters = _start(spark, sf_dir)
-    done = cut(assign(image, clusters, grid, RGB))
-    return raster, done, grid, cut(update(done, clusters, RGB))
+    return _first(spark, sf_dir)[:4]
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The grid and the clusters after an update."""
+    return _first(spark, sf_dir, give=("clusters",))[2:4]
+
+
+def _first_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Labels of a first assignment, and whether images are one task's work each."""
+    _, labels, _, _, local = _first(spark, sf_dir, until="assign", give=("labels",))
+    return labels if local else cut(labels), local
 
 
 def update_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _updated(spark, sf_dir)[3].select("image_id", "number", "y", "x", "c0", "c1", "c2", "num_members")
+    return _moved(spark, sf_dir)[1].select("image_id", "number", "y", "x", "c0", "c1", "c2", "num_members")
 
 
 def adjacency_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +122,7 @@ def adjacency_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, grid, clusters = _updated(spark, sf_dir)
+    grid, clusters = _moved(spark, sf_dir)
     return nearest(clusters, grid, 4)
 
 
@@ -181,7 +218,7 @@ def lsc_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return component_areas(_labels(_updated(spark, sf_dir)[1]))
+    return component_areas(*_first_labels(spark, sf_dir))
 
 
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +232,7 @@ def lsc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _crf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images as frames: nodes, 4-nearest edges, and costs by the class number % CLASSES."""
-    _, _, grid, clusters = _updated(spark, sf_dir)
+    grid, clusters = _moved(spark, sf_dir)
     nodes = clusters.select(F.col("image_id").alias("time"), F.col("number").alias("node"), "y", "x", "num_members", "c0", "c1", "c2")
     edges = nearest(clusters, grid, 4).select(F.col("image_id").alias("time"), "src", "dst")
     return nodes, edges, crf.from_mask(nodes.select("time", "node", (F.col("node") % CLASSES).alias("cls")), CLASSES, 0.5)
