@@ -192,11 +192,7 @@ def preemptive_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return awake_rows(image, few, grid).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * WIDTH + F.col("x")).alias("places"))
 
 
-def _lsc_field(spark: SparkSession, sf_dir: str) -> tuple[FeatureField, DataFrame]:
-    config = RGB.copy(variant="lsc")
-    _, image, grid, clusters = _start(spark, sf_dir)
-    field = FeatureField(cut(image), grid, config)
-    return field, field.seed(clusters)
+LSC = RGB.copy(variant="lsc")
 
 
 def _rounded_features(clusters: DataFrame) -> DataFrame:
@@ -204,17 +200,15 @@ def _rounded_features(clusters: DataFrame) -> DataFrame:
 
 
 def lsc_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_features(_lsc_field(spark, sf_dir)[1])
+    return _rounded_features(_first(spark, sf_dir, LSC, "seed", ("clusters",))[3])
 
 
 def lsc_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field, clusters = _lsc_field(spark, sf_dir)
-    return _labels(field.assign(field.image, clusters))
+    return _first(spark, sf_dir, LSC, "assign", ("labels",))[1]
 
 
 def lsc_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field, clusters = _lsc_field(spark, sf_dir)
-    return _rounded_features(field.update(cut(field.assign(field.image, clusters)), clusters))
+    return _rounded_features(_first(spark, sf_dir, LSC, give=("clusters",))[3])
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:

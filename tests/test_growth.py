@@ -2,8 +2,16 @@
 
 import random
 import uuid
+from pathlib import Path
+
+import pytest
 
 from terrazzo.operators.components import component_areas
+from terrazzo.plans import queries
+
+SF = "/root/testdata/sf0.01"
+PIXELS = 60_000
+
 
 def jobs(spark, run):
     """The Spark jobs that run takes."""
@@ -16,6 +24,15 @@ def jobs(spark, run):
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
 
+def written(spark, run):
+    """The bytes that run leaves in checkpoints."""
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    before = size()
+    run()
+    return size() - before
+
+
 def maps(spark, seed=1):
     """Images of different sizes with nulls and lone pixels; of one, the last row is cut short."""
     draw = random.Random(seed)
@@ -31,3 +48,8 @@ def test_components_take_one_task_an_image(spark):
     df = maps(spark)
     assert jobs(spark, lambda: component_areas(df).collect()) < 12  # by joins 60 on these
     assert rows(component_areas(df)) == rows(component_areas(df, local=False))
+
+
+@pytest.mark.parametrize("name", ["lsc_update"])
+def test_features_are_not_written(spark, name):
+    assert written(spark, lambda: queries.queries()[name](spark, SF).collect()) < 25 * PIXELS
