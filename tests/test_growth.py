@@ -50,6 +50,6 @@ def test_components_take_one_task_an_image(spark):
     assert rows(component_areas(df)) == rows(component_areas(df, local=False))
 
 
-@pytest.mark.parametrize("name", ["lsc_update"])
+@pytest.mark.parametrize("name", ["lsc_assign", "lsc_update"])
 def test_features_are_not_written(spark, name):
     assert written(spark, lambda: queries.queries()[name](spark, SF).collect()) < 25 * PIXELS
