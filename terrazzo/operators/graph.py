@@ -27,26 +27,39 @@ def _touching(assignment: DataFrame) -> DataFrame:
     return each.where("src is not null and dst is not null and src <> dst")
 
 
-def adjacency(assignment: DataFrame, max_degree: int | None = MAX_DEGREE) -> DataFrame:
+def taken(src: list[int], dst: list[int], max_degree: int) -> list[bool]:
+    """Which of the pairs come in, one after another, while both their regions have fewer neighbours."""
+    degree: dict[int, int] = {}
+    keep = []
+    for a, b in zip(src, dst, strict=True):
+        ok = degree.get(a, 0) < max_degree and degree.get(b, 0) < max_degree
+        keep.append(ok)
+        if ok:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    return keep
+
+
+def adjacency(assignment: DataFrame, max_degree: int | None = MAX_DEGREE, local: bool | None = None) -> DataFrame:
     """(image_id, src, dst, ord), both directions of each pair of touching labels once.
 
     With ``max_degree`` pairs come in the raster order of their first meeting, and one comes in only while both its
     regions have fewer neighbours. That depends on all edges before, so the edges of one image, a few for each region
     and not for each pixel, are gone through in one task: 65,533 regions, the most that there are, have some 200,000.
+    Images that fit one task (LOCAL_PIXELS) are one task's work each; if any is larger, pixels meet by joins. ``local``
+    says which, if the caller knows; else the images' pixels are counted.
     """
+    from terrazzo.operators.local import touching_local
+    from terrazzo.operators.segment import fit_tasks
+
+    if fit_tasks(assignment) if local is None else local:
+        return touching_local(assignment, max_degree)
     pairs = _touching(assignment).groupBy("image_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     first = pairs.agg(F.min(F.struct("ord", "src", "dst")).alias("f")).select("image_id", "f.src", "f.dst", "f.ord")
     if max_degree is not None:
 
         def capped(edges: pd.DataFrame) -> pd.DataFrame:
-            degree: dict[int, int] = {}
-            keep = []
-            for src, dst in edges.sort_values("ord")[["src", "dst"]].itertuples(index=False):
-                ok = degree.get(src, 0) < max_degree and degree.get(dst, 0) < max_degree
-                keep.append(ok)
-                if ok:
-                    degree[src], degree[dst] = degree.get(src, 0) + 1, degree.get(dst, 0) + 1
-            return edges.sort_values("ord")[keep]
+            edges = edges.sort_values("ord")
+            return edges[taken(edges["src"].tolist(), edges["dst"].tolist(), max_degree)]
 
         first = first.groupBy("image_id").applyInPandas(capped, first.schema)
     return first.unionByName(first.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "ord"))

@@ -112,12 +112,13 @@ def update_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacency_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjacency(_updated(spark, sf_dir)[1], None).select("image_id", "src", "dst")
+    labels, local = _first_labels(spark, sf_dir)
+    return adjacency(labels, None, local).select("image_id", "src", "dst")
 
 
 def adjacency_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, done, _, clusters = _updated(spark, sf_dir)
-    lists = as_lists(adjacency(done, CAP), clusters)
+    _, done, _, clusters, local = _first(spark, sf_dir)
+    lists = as_lists(adjacency(done, CAP, local), clusters)
     return lists.select("image_id", "number", F.array_join(F.transform("neighbors", lambda n: n.cast("string")), ",").alias("neighbors"))
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from terrazzo.operators.components import component_areas
+from terrazzo.operators.graph import adjacency
 from terrazzo.plans import queries
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +54,11 @@ def test_components_take_one_task_an_image(spark):
 @pytest.mark.parametrize("name", ["lsc_assign", "lsc_update"])
 def test_features_are_not_written(spark, name):
     assert written(spark, lambda: queries.queries()[name](spark, SF).collect()) < 25 * PIXELS
+
+
+@pytest.mark.parametrize("cap", [2])
+def test_adjacency_takes_one_task_an_image(spark, cap):
+    df = maps(spark)
+    found = adjacency(df, cap)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert rows(found) == rows(adjacency(df, cap, local=False))
