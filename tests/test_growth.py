@@ -56,7 +56,7 @@ def test_features_are_not_written(spark, name):
     assert written(spark, lambda: queries.queries()[name](spark, SF).collect()) < 25 * PIXELS
 
 
-@pytest.mark.parametrize("cap", [2])
+@pytest.mark.parametrize("cap", [None, 2])
 def test_adjacency_takes_one_task_an_image(spark, cap):
     df = maps(spark)
     found = adjacency(df, cap)
