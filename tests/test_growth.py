@@ -51,7 +51,7 @@ def test_components_take_one_task_an_image(spark):
     assert rows(component_areas(df)) == rows(component_areas(df, local=False))
 
 
-@pytest.mark.parametrize("name", ["knn_l1", "crf_infer_once"])
+@pytest.mark.parametrize("name", ["knn_l1", "crf_infer_once", "crf_unbiased"])
 def test_clusters_without_written_pixels(spark, name):
     """Only the numbered pixels are written before clusters are: 16 bytes each, and no labels beside them."""
     assert written(spark, lambda: queries.queries()[name](spark, SF).collect()) < 25 * PIXELS
